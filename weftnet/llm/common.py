@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -69,24 +71,43 @@ def input_bytes(df: DataFrame) -> int:
     return 1 << 30
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once an application, so that their Python can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="weftnet-code-"), "weftnet_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """`df.mapInArrow` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn, schema: str, limit: int = 16 << 20) -> DataFrame:
     """`df.mapInArrow` in which `fn(batch)` sees record batches of about `limit` bytes of text at most and returns dicts of columns (or None)."""
 
     def run(batches):
-        target = None
         for batch in batches:
             for part in split_batch(batch, limit):
                 out = fn(part)
                 for cols in out if isinstance(out, list) else [out]:
-                    if cols is None:
-                        continue
-                    rb = cols if isinstance(cols, pa.RecordBatch) else pa.RecordBatch.from_pydict(cols)
-                    if rb.num_rows:
-                        target = rb
-                        yield rb
-        del target
-
-    return df.mapInArrow(run, schema)
+                    if cols is not None:
+                        yield cols if isinstance(cols, pa.RecordBatch) else pa.RecordBatch.from_pydict(cols)
+
+    return map_arrow(df, run, schema)
 
 
 def split_batch(batch: pa.RecordBatch, limit: int):

@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import chat, mixing
+from weftnet.llm import chat, langid, mixing, packing
+from weftnet.llm.common import id_crc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> dict:
+    import public_tokenizers
+
+    return {"rank_file": public_tokenizers.path("byte_bpe_50k.tiktoken"), "json_file": public_tokenizers.path("byte_bpe_50k.json"), "pattern": public_tokenizers.PATTERN}
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"), id_crc() % 3 == 1)
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files()))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,5 +70,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM x GROUP BY conv_id
 """
 
-QUERIES = {"op2_mix_sources": op2_mix_sources, "op10_chat_format": op10_chat_format}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_pack_sequences": op4_pack_sequences,
+    "op2_mix_sources": op2_mix_sources, "op10_chat_format": op10_chat_format,
+}
 ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op10_chat_format": OP10_SQL}
