@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import chat, langid, mixing, packing
+from weftnet.llm import ann, bitslice, chat, langid, mixing, packing
 from weftnet.llm.common import id_crc
 
 
@@ -31,6 +31,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
@@ -73,6 +89,9 @@ FROM x GROUP BY conv_id
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_pack_sequences": op4_pack_sequences,
-    "op2_mix_sources": op2_mix_sources, "op10_chat_format": op10_chat_format,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
+    "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL = {"op9_bit_sliced_top_k": OP9_SQL, "op2_mix_sources": OP2_SQL, "op10_chat_format": OP10_SQL}
