@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import ann, bitslice, chat, langid, mixing, packing
+from weftnet.llm import ann, bitslice, chat, langid, mixing, packing, toxicity
 from weftnet.llm.common import id_crc
 
 
@@ -35,6 +35,13 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_crc() % 5 != 0)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -91,6 +98,7 @@ QUERIES = {
     "op4_pack_sequences": op4_pack_sequences,
     "op2_mix_sources": op2_mix_sources,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op5_toxicity": op5_toxicity,
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_chat_format": op10_chat_format,
 }
