@@ -191,17 +191,25 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends_at = cuts[cuts > 0] - 1
     last[ends_at] = begins[ends_at]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = len(raw)
-    summed = np.zeros(size + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(size), out=summed[1:])
-    h = (summed[ends] - summed[starts]) * powers(size, _INVERSE)[starts]
-    np.cumsum(_BYTE_MIX[low] * powers(size, _SECOND), out=summed[1:])
-    h2 = (summed[ends] - summed[starts]) * powers(size, _SECOND_INVERSE)[starts]
-    h = mix64(h ^ (mix64(h2) + (ends - starts).astype(np.uint64)))
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # in pieces of about _CHUNK bytes, whole words
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + _CHUNK, side="right")))
+        s, e, part = starts[i:j] - at, ends[i:j] - at, low[at : int(ends[j - 1])]
+        size = len(part)
+        summed = np.zeros(size + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(size), out=summed[1:])
+        one = (summed[e] - summed[s]) * powers(size, _INVERSE)[s]
+        np.cumsum(_BYTE_MIX[part] * powers(size, _SECOND), out=summed[1:])
+        two = (summed[e] - summed[s]) * powers(size, _SECOND_INVERSE)[s]
+        out[i:j] = mix64(one ^ (mix64(two) + (e - s).astype(np.uint64)))
+        i = j
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return h, counts
+    return out, counts
 
 
+#: Bytes whose words are hashed at once.
+_CHUNK = 1 << 20
 _SECOND = 0xD1342543DE82EF95
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
 _BYTE_MIX = mix64(np.arange(1, 257, dtype=np.uint64))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import ann, bitslice, chat, langid, mixing, packing, toxicity
+from weftnet.llm import ann, bitslice, chat, jaccard, langid, mixing, packing, toxicity
 from weftnet.llm.common import id_crc
 
 
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_chat_format": op10_chat_format,
 }
