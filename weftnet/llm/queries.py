@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import ann, bitslice, chat, jaccard, langid, mixing, packing, toxicity
+from weftnet.llm import ann, bitslice, chat, jaccard, langid, mixing, packing, suffix, toxicity
 from weftnet.llm.common import id_crc
 
 
@@ -46,6 +46,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_chat_format": op10_chat_format,
 }
