@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import ann, bitslice, chat, jaccard, langid, mixing, packing, suffix, toxicity
+from weftnet.llm import ann, bitslice, chat, jaccard, langid, lm, mixing, packing, suffix, toxicity
 from weftnet.llm.common import id_crc
 
 
@@ -50,6 +50,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs, id_crc() % 7 != 2)
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", (id_crc() % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -109,6 +116,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_chat_format": op10_chat_format,
 }
