@@ -90,13 +90,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """`df.mapInArrow` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def map_batches(df: DataFrame, fn, schema: str, limit: int = 16 << 20) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema, limit: int = 16 << 20) -> DataFrame:
     """`df.mapInArrow` in which `fn(batch)` sees record batches of about `limit` bytes of text at most and returns dicts of columns (or None)."""
 
     def run(batches):

@@ -253,3 +253,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     named = known.join(first, ["n_shingles", "s1", "s2"], "left")
     named = named.join(found.withColumnRenamed("id", "first"), "first", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` but for those whose component has a smaller id; of equal rows one stays."""
+    found = staged(near_duplicates(docs, **how), "near_duplicates")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = staged(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return out
+    return out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftnet.llm.common import map_batches, text_bytes
 
 UND = "und"
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 class ByteCNN:
@@ -158,12 +158,14 @@ def train(docs: DataFrame, may_learn: Column, *, per_language: int = 1500, langu
     return ByteCNN(labels, window).fit(x, y, epochs=epochs)
 
 
-def identify(docs: DataFrame, model: ByteCNN | None, held_out: Column) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of doc_id and text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.when(has_letter(F.col("text")), F.col("text")).otherwise(F.lit("")).alias("text"))
+def identify(docs: DataFrame, model: ByteCNN | None, keep: list[str]) -> DataFrame:
+    """lang_pred and score of every row's text, beside the columns `keep` as the struct `row`."""
+    row = F.struct(*[F.col(c) for c in keep]).alias("row")
+    rows = docs.select(row, F.when(has_letter(F.col("text")), F.col("text")).otherwise(F.lit("")).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batch: pa.RecordBatch) -> dict:
-        raw, offsets = text_bytes(batch.column(2))
+        raw, offsets = text_bytes(batch.column(1))
         n = batch.num_rows
         best, score = np.full(n, -1), np.zeros(n)
         empty = np.diff(offsets) == 0
@@ -178,12 +180,21 @@ def identify(docs: DataFrame, model: ByteCNN | None, held_out: Column) -> DataFr
             q /= q.sum(1, keepdims=True)
             best[keep], score[keep] = q.argmax(1)[keep], q.max(1)[keep]
         names = np.array([*(model.labels if model else []), UND], dtype=object)
-        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)}
+        return {"row": batch.column(0), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)}
 
-    return map_batches(rows, predict, SCHEMA, 4 << 20)
+    return map_batches(rows, predict, schema, 4 << 20)
 
 
 def identify_languages(docs: DataFrame, held_out: Column, **sample) -> DataFrame:
-    """Learns from the rows that aren't held out and predicts all."""
+    """Learns from the rows that aren't held out and predicts all: doc_id, held_out, lang_pred, score."""
     docs = docs.select("doc_id", "text", "lang")
-    return identify(docs, train(docs, ~held_out, **sample), held_out)
+    model = train(docs, ~held_out, **sample)
+    found = identify(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.3, **sample) -> DataFrame:
+    """The rows whose language is found with a score of `least` or more; a null lang becomes the found one."""
+    model = train(docs.select("doc_id", "text", "lang"), F.lit(True), **sample)
+    found = identify(docs, model, docs.columns).filter((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return found.select(*[(F.coalesce(F.col("row.lang"), F.col("lang_pred")) if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -68,9 +68,11 @@ def _beside(docs: DataFrame, table: DataFrame, small: bool) -> DataFrame:
     return docs.join(salted, docs["source"].eqNullSafe(salted["key"]) & (docs["salt_d"] == salted["salt_t"])).drop("key", "salt_d", "salt_t")
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole), tail_words (of one more, partial copy) and taken."""
-    base = staged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), place(F.col(doc_id)).alias("place")), "sizes")
+def thresholds(base: DataFrame, weights: tuple[int, ...], most: float) -> tuple[DataFrame, bool]:
+    """One row a source (key) with target, whole copies and where its partial copy ends; whether it may be broadcast.
+
+    `base` has source, size and place of every document.
+    """
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = source_targets(totals, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.round("target").cast("long")).otherwise(F.lit(0).cast("long"))
@@ -91,7 +93,35 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if level * LEVEL_DIGITS < DIGITS:
             cuts = cuts.drop("here")
     t, c = table.alias("t"), cuts.alias("c")
-    table = t.join(c, F.col("t.source").eqNullSafe(F.col("c.key")), "left").select(F.col("t.source").alias("key"), "source_size", "target", "copies", "cut", "left", "here")
+    joined = t.join(c, F.col("t.source").eqNullSafe(F.col("c.key")), "left")
+    return joined.select(F.col("t.source").alias("key"), "source_size", "target", "copies", "cut", "left", "here"), small
+
+
+def _decided(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """Adds the table's columns, tail_words and taken to rows of source, size and place."""
     tail = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.floor(F.col("size") * F.col("left") / F.col("here"))).otherwise(F.lit(0)).cast("long")
-    out = _beside(base, table, small).withColumn("tail_words", F.coalesce(tail, F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "tail_words", (F.col("size") * F.col("copies") + F.col("tail_words")).alias("taken"))
+    out = _beside(rows, table, small).withColumn("tail_words", F.coalesce(tail, F.lit(0).cast("long")))
+    return out.withColumn("taken", F.col("size") * F.col("copies") + F.col("tail_words"))
+
+
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (whole), tail_words (of one more, partial copy) and taken."""
+    base = staged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), place(F.col(doc_id)).alias("place")), "sizes")
+    table, small = thresholds(base.select("source", "size", "place"), weights, most)
+    return _decided(base, table, small).select("doc_id", "source", "size", "source_size", "target", "copies", "tail_words", "taken")
+
+
+def take_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """The mixed corpus, with the columns of `docs`: a row for every copy; of a partial copy the first words and n_chars of that."""
+    measured = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("source"), n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place"))
+    table, small = thresholds(staged(measured.select("source", "size", "place"), "sizes"), weights, most)
+    rows = _decided(measured, table, small)
+    whole = F.col("copies").cast("int") + (F.col("tail_words") == F.col("size")).cast("int") * (F.col("size") > 0).cast("int")
+    part = (F.col("tail_words") > 0) & (F.col("tail_words") < F.col("size"))
+    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("tail_words").cast("int")), "")
+    kinds = F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), part.cast("int")))
+    rows = rows.select("*", F.explode(kinds).alias("partial"))
+    text = F.when(F.col("partial"), head).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("partial"), F.length(text)).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0))}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

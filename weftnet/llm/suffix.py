@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftnet.llm.common import _BYTE_MIX, _INVERSE, input_bytes, map_batches, mix64, powers, ship, staged, text_bytes
 from weftnet.llm.jaccard import planes, unplanes
@@ -332,7 +333,7 @@ def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
                 rows.append((int(shard[g[0]]), int(lot[g[0]] > 0), (h[g] ^ (lot[g] << np.uint64(48))).tobytes(), planes(d[g]), t[g].astype("<i4").tobytes(), planes(start[g]), planes(n[g]), b"".join(pieces[i] for i in g.tolist())))
         return pd.DataFrame(rows, columns=["shard", "lot", "hash", "doc", "text_hash", "start", "size", "text"])
 
-    by_slot = docs.withColumn("slot", slot_of(F.col("doc"), slots))
+    by_slot = docs.select("doc", "text_hash", "text", slot_of(F.col("doc"), slots).alias("slot"))
     asked = found.filter(F.col("kind") == ASK)
     stretches = by_slot.groupBy("slot").cogroup(asked.groupBy("slot")).applyInPandas(fetch, "shard int, lot int, hash binary, doc binary, text_hash binary, start binary, size binary, text binary")
 
@@ -403,11 +404,16 @@ def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
     return cuts.select("slot", "doc", "text_hash", "start", "size")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, starts and ends of the maximal removed runs, and kept (the bytes that stay) of every row."""
+def remove_repeats(docs: DataFrame, *, length: int = 100, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, starts and ends of the maximal removed runs, and kept (the bytes that stay) of every row.
+
+    With `keep`, kept_text has what stays as text, without bytes of a character that was cut, and `rest`
+    these columns of the row as JSON.
+    """
     ship(docs.sparkSession)
+    rest = F.to_json(F.struct(*[F.col(c) for c in keep]), {"ignoreNullFields": "false"}) if keep else F.lit("{}")
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MOST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("text_hash"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MOST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("text_hash"), text.alias("text"), rest.alias("rest"))
     slots = int(max(64, input_bytes(docs) // (4 << 20))) | 1
     cuts = find_repeats(docs, length, slots)
 
@@ -426,22 +432,33 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
                 new = np.append(True, start[i:j][1:] > reach[:-1])
                 spans[int(d[i]), int(t[i])] = start[i:j][new], reach[np.append(np.flatnonzero(new)[1:] - 1, j - i - 1)]
         rows = []
-        for no_id, d, t, text in zip(left["no_id"], left["doc"], left["text_hash"], left["text"], strict=True):
+        for no_id, d, t, text, rest in zip(left["no_id"], left["doc"], left["text_hash"], left["text"], left["rest"], strict=True):
             data = text.encode()
             a, b = spans.get((int(d), int(t)), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
             if len(a):
                 kept = b"".join(data[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
             else:
                 kept = data
-            rows.append((None if no_id else int(d), len(data), a.tolist(), b.tolist(), kept))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "starts", "ends", "kept"])
+            rows.append((None if no_id else int(d), len(data), a.tolist(), b.tolist(), kept, kept.decode(errors="ignore") if keep is not None else None, rest))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "starts", "ends", "kept", "kept_text", "rest"])
         return out.astype({"doc_id": "Int64"})
 
     by_slot = docs.withColumn("slot", slot_of(F.col("doc"), slots))
-    return by_slot.groupBy("slot").cogroup(cuts.groupBy("slot")).applyInPandas(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return by_slot.groupBy("slot").cogroup(cuts.groupBy("slot")).applyInPandas(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, kept_text string, rest string")
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """The columns of op7."""
     gone = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cut_repeats(docs: DataFrame, **how) -> DataFrame:
+    """`docs` with what repeats taken from text (bytes of a character that was cut go as well); n_chars follows where it is there."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs, keep=others, **how)
+    schema = T.StructType([docs.schema[c] for c in others])
+    cut = cut.select("doc_id", F.col("kept_text").alias("text"), F.from_json("rest", schema).alias("row"), (F.size("starts") > 0).alias("changed"))
+    value = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text")).otherwise(F.col("row")["n_chars"] if "n_chars" in others else F.lit(0))}
+    return cut.select(*[value.get(c, F.col("row")[c] if c in others else None).alias(c) for c in docs.columns])
+
