@@ -149,15 +149,23 @@ def slot_of(doc, slots: int):
 
 
 def later(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by `keys` (most important first), and which rows in it equal their predecessor in all but the last three."""
+    """Order by `keys` (most important first), and which rows in it equal their predecessor in all but the last three.
+
+    The last three are a place (document, hash of its text, start); of rows for one place, as repeated
+    rows of a table give them, one stays.
+    """
     order = np.lexsort(keys[::-1])
-    same = np.zeros(len(order), bool)
-    if len(order) > 1:
-        same[1:] = True
-        for k in keys[:-3]:
+
+    def repeats(some: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(order), bool)
+        out[1:] = True
+        for k in some:
             x = k[order]
-            same[1:] &= x[1:] == x[:-1]
-    return order, same
+            out[1:] &= x[1:] == x[:-1]
+        return out
+
+    order = order[~repeats(keys)]
+    return order, repeats(keys[:-3])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
