@@ -64,11 +64,11 @@ def id_crc(column: str = "doc_id"):
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files below `df` as the optimizer knows it; at least 1."""
-    with contextlib.suppress(Exception):
-        n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return max(1, min(n, 1 << 60))
-    return 1 << 30
+    """Bytes of a DataFrame with a column text: the size of its files, or of the texts where Spark doesn't know it."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n >= 1 << 50:
+        n = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, n)
 
 
 _shipped: set[str] = set()
