@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     clusters = clusters.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     clusters = staged(clusters, "cluster_parts")
-    texts = docs.join(clusters.select(F.col("id").alias("doc_id"), "component", "blocks", "part"), "doc_id")
+    # merged at every size: a broadcast that ends at some size would make the shuffle jump there
+    texts = docs.join(clusters.select(F.col("id").alias("doc_id"), "component", "blocks", "part").hint("merge"), "doc_id")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "doc_id", "text")
     # small clusters share a task's batch; a pair of blocks is a group of its own
@@ -259,7 +260,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` but for those whose component has a smaller id; of equal rows one stays."""
     found = staged(near_duplicates(docs, **how), "near_duplicates")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = staged(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if twice.isEmpty():
         return out
