@@ -54,7 +54,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.train(docs, id_crc() % 7 != 2)
     scored = lm.score(docs, model)
-    return scored.select("doc_id", (id_crc() % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", (id_crc() % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), *[F.round(c, 6).alias(c) for c in ("base_score", "score")])
 
 
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +125,43 @@ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.gone, 0)::BIGINT AS n_remove
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
+#: crc32 of the id as text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+       lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"""
+
+
+def _discounts(of: str) -> str:
+    """Modified Kneser-Ney discounts of a table of counts k, as in lm.discounts."""
+    count = ", ".join(f"(count(*) FILTER (k = {i}))::DOUBLE AS n{i}" for i in (1, 2, 3, 4))
+    d = {1: ("1 - 2 * y * n2 / n1", 1.0), 2: ("2 - 3 * y * n3 / n2", 2.0)}
+    d[3] = (f"CASE WHEN n3 > 0 THEN 3 - 4 * y * n4 / n3 ELSE least(greatest({d[2][0]}, 0.05), 2.0) END", 3.0)
+    shown = ", ".join(f"CASE WHEN n1 > 0 AND n2 > 0 THEN least(greatest({x}, 0.05::DOUBLE), {top}::DOUBLE) ELSE 0.5::DOUBLE END AS d{i}" for i, (x, top) in d.items())
+    return f"(SELECT {shown} FROM (SELECT *, n1 / (n1 + 2 * n2) AS y FROM (SELECT {count} FROM {of})))"
+
+
+def _discount(k: str, d: str) -> str:
+    return f"CASE WHEN {k} IS NULL THEN 0 WHEN {k} = 1 THEN {d}.d1 WHEN {k} = 2 THEN {d}.d2 ELSE {d}.d3 END"
+
+
+OP8_SQL = f"""
+WITH t AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, chr(10)) AS w FROM documents),
+f AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_concat([chr(32)], w[:-2])) AS h FROM t),
+c AS (SELECT w, count(*) AS k FROM f WHERE NOT held_out GROUP BY w),
+z AS (SELECT sum(k)::BIGINT AS n, count(*)::BIGINT AS v FROM c),
+p AS (SELECT h, w, count(*) AS k FROM f WHERE NOT held_out GROUP BY h, w),
+x AS (SELECT h, sum(k)::DOUBLE AS k, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k > 2) AS n3 FROM p GROUP BY h),
+o AS (SELECT w, count(*) AS k FROM p GROUP BY w),
+d1 AS {_discounts("o")}, d2 AS {_discounts("p")},
+s AS (SELECT sum({_discount("o.k", "d1")}) AS spare, sum(o.k)::DOUBLE AS pairs FROM o, d1),
+l AS (SELECT f.*, c.k AS known, p.k AS pair, x.k AS context, d2.d1 * x.n1 + d2.d2 * x.n2 + d2.d3 * x.n3 AS gap, {_discount("p.k", "d2")} AS cut,
+             (coalesce(o.k, 0) - {_discount("o.k", "d1")} + s.spare / (z.v + 1)) / s.pairs AS low, z.n, z.v
+      FROM f CROSS JOIN z CROSS JOIN s CROSS JOIN d1 CROSS JOIN d2 LEFT JOIN c ON c.w = f.w LEFT JOIN o ON o.w = f.w LEFT JOIN p ON p.h = f.h AND p.w = f.w LEFT JOIN x ON x.h = f.h)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(known)::BIGINT AS n_known, max(n)::BIGINT AS train_tokens,
+       round(sum(log10((coalesce(known, 0) + 1) / (n + v + 1)::DOUBLE)), 6) AS base_score,
+       round(sum(log10(CASE WHEN context IS NULL THEN low ELSE (coalesce(pair, 0) - cut + gap * low) / context END)), 6) AS score
+FROM l GROUP BY doc_id, held_out
+"""
+
 OP10_SQL = rf"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -149,4 +186,4 @@ QUERIES = {
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL = {"op6_ngram_jaccard": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_bit_sliced_top_k": OP9_SQL, "op2_mix_sources": OP2_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL = {"op6_ngram_jaccard": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op8_lm_scores": OP8_SQL, "op9_bit_sliced_top_k": OP9_SQL, "op2_mix_sources": OP2_SQL, "op10_chat_format": OP10_SQL}
