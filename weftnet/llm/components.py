@@ -18,8 +18,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     split the neighbours of a hub.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}_0")
-    state = None
-    for step in range(1, 200):
+    step = 0
+    while not _stars(e):
+        step += 1
         # large star: ids whose smallest neighbour is below them hand it to their larger neighbours
         both = e.select("u", "v").union(e.select("v", "u"))
         low = staged(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u"), f"{name}_low{step}")
@@ -30,9 +31,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least{step}")
         near = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(near.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), f"{name}_{step}")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state:
-            break
-        state = now
     roots = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return staged(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), name)
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour at most, and none that has one is a smaller neighbour itself."""
+    roles = e.select(F.col("u").alias("id"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).union(e.select("v", F.lit(0), F.lit(1)))
+    roles = roles.groupBy("id").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return roles.filter("ups > 1 OR (ups > 0 AND downs > 0)").isEmpty()
