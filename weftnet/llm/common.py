@@ -71,6 +71,27 @@ def input_bytes(df: DataFrame) -> int:
     return max(1, n)
 
 
+#: Words of 64 bits in a membership filter: its table is never larger than this.
+FILTER_WORDS = 1 << 18
+
+
+def maybe_among(df: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """Adds `flag`: false only where `key` surely isn't among the column `id` of `ids` (null counts as false).
+
+    A bitmap of hashed ids, of a fixed size, is broadcast as a table of its words. Rows that surely have
+    no partner then need no shuffle to a join; the others still meet the exact join. With very many ids
+    the bitmap fills and sets fewer rows apart, but nothing else changes.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(64 * FILTER_WORDS))
+    bit = lambda c: F.pmod(spot(c), F.lit(64)).cast("int")
+    one = F.lit(1).cast("long")
+    words = ids.select(F.call_function("div", spot(F.col("id")), F.lit(64)).alias("filter_word"), F.call_function("shiftleft", one, bit(F.col("id"))).alias("filter_bits"))
+    words = words.groupBy("filter_word").agg(F.bit_or("filter_bits").alias("filter_bits"))
+    out = df.join(F.broadcast(words), F.call_function("div", spot(F.col(key)), F.lit(64)) == F.col("filter_word"), "left")
+    hit = F.col("filter_bits").bitwiseAND(F.call_function("shiftleft", one, bit(F.col(key)))) != 0
+    return out.withColumn(flag, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("filter_word", "filter_bits")
+
+
 _shipped: set[str] = set()
 
 

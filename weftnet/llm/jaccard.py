@@ -6,12 +6,15 @@ difference. Sets with a Jaccard similarity of at least j differ in at most (1-j)
 shingles, and their sizes differ by the factor j at most. Sizes are dealt to geometric bands; a set
 takes part in its own band and the next, so two sets that may be similar meet in one. A band of sets
 up to `hi` shingles cuts its sketches into d + 1 segments, d being the largest difference there: by
-the pigeonhole principle two similar sets agree in a whole segment. Segments are hashed to keys.
+the pigeonhole principle two similar sets agree in a whole segment. With z more segments they agree in
+z + 1, and the fullest of these is never among the z emptiest of either set, so each set leaves its z
+emptiest segments out: segments with few shingles are what unlike sets share. Segments are hashed to keys.
 
-Keys travel packed, as blocks of sorted numbers per bucket. Sets that share keys become candidate
-clusters; each cluster's texts are compared block by block: first by the Hamming distance of short
-sketches, then exactly, skipping pairs that are connected already. So every pair of similar sets is
-connected through verified links, and no list of all pairs is ever made. Equal sets are one set.
+Keys travel packed, as blocks of sorted numbers per bucket. Sets with a key in common are compared by
+the Hamming distance of short sketches, which drops only pairs that can't be similar; what is left in
+connected clusters is compared exactly. Both comparisons work in pairs of blocks and skip pairs that
+are connected already, so every pair of similar sets is connected through verified links, and no list of
+all pairs is ever made. Equal sets are one set.
 
 Defined cases: a text without words has an empty set and no link; one with fewer words than a shingle
 has its whole sequence as the one shingle; a null id takes no part and has a null component; a
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import documents, input_bytes, map_batches, mix64, ship, staged, text_bytes, word_hashes
+from weftnet.llm.common import documents, input_bytes, map_batches, maybe_among, mix64, ship, staged, text_bytes, word_hashes
 from weftnet.llm.components import components
 
-#: Bits of a sketch segment; words of the short sketch that is compared before sets are.
-SEGMENT, SHORT_WORDS = 64, 16
+#: Bits of a sketch segment (few are set: a segment is kept as the hash of their places); words of the short
+#: sketch that is compared before sets are; segments beyond d + 1 for each d.
+SEGMENT, SHORT_WORDS, SPARE = 1 << 24, 16, 0.5
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 
 
@@ -75,14 +79,26 @@ class Bands:
         return int(2 * int(self.tops[band]) * (self.den - self.num) // (self.den + self.num)) + 1
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of all segments of a set's sketches, in its own band and the next."""
+        """Keys of a set's fullest segments, in its own band and the next."""
         own, out = self.of(len(s)), []
         for band in (own, own + 1):
-            m = self.segments(band)
-            place = (mix64(s + np.uint64(band + 1)) >> np.uint64(11)) % np.uint64(m * SEGMENT)
-            parity = (np.bincount(place.astype(np.int64), minlength=m * SEGMENT) & 1).astype(bool)
-            words = np.packbits(parity, bitorder="little").view(np.uint64)
-            out.append(mix64(mix64(words ^ np.uint64(0xA5A5A5A5)) + np.arange(m, dtype=np.uint64) * np.uint64(_STEP[1]) + np.uint64(band * _STEP[2] & (1 << 64) - 1)))
+            need = self.segments(band)
+            m = need + int(np.ceil(SPARE * (need - 1)))
+            place = mix64(s + np.uint64(band + 1)) % np.uint64(m * SEGMENT)
+            segment = (place // np.uint64(SEGMENT)).astype(np.int64)
+            order = np.argsort(place)
+            odd = np.ones(len(s), bool)  # places that an odd number of shingles fall on
+            p = place[order]
+            twin = np.flatnonzero(p[1:] == p[:-1])
+            for t in twin.tolist():
+                if odd[t]:
+                    odd[t] = odd[t + 1] = False
+            bits, where = p[odd], segment[order][odd]
+            content = np.zeros(m, np.uint64)
+            np.bitwise_xor.at(content, where, mix64(bits + np.uint64(_STEP[1])))
+            count = np.bincount(where, minlength=m)
+            content = mix64(content + np.arange(m, dtype=np.uint64) * np.uint64(_STEP[2]) + np.uint64(band * _STEP[4] & (1 << 64) - 1))
+            out.append(content[np.lexsort((content, count))[m - need :]])
         return np.concatenate(out)
 
 
@@ -92,15 +108,25 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
+def short_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of SHORT_WORDS * 64 bits."""
+    bits = SHORT_WORDS * 64
+    place = (mix64(s + np.uint64(5)) >> np.uint64(20)) % np.uint64(bits)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").view(np.uint64)
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest (s1, s2) of each row's set."""
+    """doc_id, n_shingles, a 128-bit digest (s1, s2) and the short sketch of each row's set."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(*text_bytes(batch.column(1)), width)
         digests = [set_digest(s) for s in sets]
-        return {"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([d[0] for d in digests], pa.int64()), "s2": pa.array([d[1] for d in digests], pa.int64())}
+        return {
+            "doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([d[0] for d in digests], pa.int64()),
+            "s2": pa.array([d[1] for d in digests], pa.int64()), "sketch": pa.array([short_sketch(s).tobytes() for s in sets], pa.binary()),
+        }
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, s1 long, s2 long", 2 << 20)
+    return map_batches(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary", 2 << 20)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -112,29 +138,8 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, smallest id of its component) of the components of the edges (a, b)."""
-    ids, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    root = np.arange(len(ids))
-    while True:
-        low = np.minimum(root[x], root[y])
-        was = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        while True:
-            deeper = root[root]
-            if (deeper == root).all():
-                break
-            root = deeper
-        if (root == was).all():
-            break
-    keep = root != np.arange(len(ids))
-    return ids[keep], ids[root[keep]]
-
-
 def candidates(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFrame:
-    """Edges (a, b) that connect all documents with a common key."""
+    """Groups of documents with a common key: grp (a hash of the members), size and doc, a row a member."""
     shift = np.uint64(64 - 8 - 8)
 
     def emit(batch: pa.RecordBatch) -> dict:
@@ -162,12 +167,21 @@ def candidates(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataF
         owner = np.concatenate([unplanes(b) for b in pdf["docs"]])
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
-        same = np.flatnonzero(keys[1:] == keys[:-1])
-        a, b = spanning(owner[same + 1], owner[same])
-        return pd.DataFrame({"a": a, "b": b})
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(first, len(keys)))
+        member = np.repeat(size > 1, size)
+        first, size = first[size > 1], size[size > 1]
+        if not len(first):
+            return pd.DataFrame({"grp": [], "size": [], "doc": []}, dtype="int64")
+        owner, begin = owner[member], np.cumsum(size) - size
+        one = owner.view(np.uint64)
+        name = mix64(np.add.reduceat(mix64(one), begin) + mix64(np.bitwise_xor.reduceat(mix64(one + np.uint64(9)), begin)))
+        _, kept = np.unique(name, return_index=True)  # groups with the same members are one
+        at = np.repeat(begin[kept] - (np.cumsum(size[kept]) - size[kept]), size[kept]) + np.arange(size[kept].sum())
+        return pd.DataFrame({"grp": np.repeat(name[kept], size[kept]).view(np.int64), "size": np.repeat(size[kept], size[kept]), "doc": owner[at]})
 
     packed = map_batches(docs, emit, "bucket int, keys binary, docs binary", 16 << 20)
-    return packed.groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return packed.groupBy("bucket").applyInPandas(meet, "grp long, size long, doc long")
 
 
 def is_similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -179,18 +193,11 @@ def is_similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def compare(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar among documents of one block (side 0) or between two (0 and 1)."""
-    order = np.argsort(ids, kind="stable")
-    ids, side, texts = ids[order], side[order], [texts[i] for i in order]
-    data = [t.encode() for t in texts]
-    sets = shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64), width)
-    n = np.array([len(s) for s in sets], np.int64)
-    bits = SHORT_WORDS * 64
-    sketch = np.zeros((len(sets), SHORT_WORDS), np.uint64)
-    for i, s in enumerate(sets):
-        place = (mix64(s + np.uint64(5)) >> np.uint64(20)) % np.uint64(bits)
-        sketch[i] = np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").view(np.uint64)
+def link(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, num: int, den: int, similar) -> list[tuple[int, int]]:
+    """Links that connect what is similar within a block (all on side 0) or between two (sides 0 and 1).
+
+    Sizes and sketches drop only pairs that can't be similar; `similar(i, j)` decides on the others.
+    """
     root = np.arange(len(ids))
 
     def find(i: int) -> int:
@@ -199,23 +206,40 @@ def compare(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, num
             i = root[i]
         return i
 
-    across, links = bool((side == 1).any()), []
-    for i in range(len(ids)):
+    across, links = bool((side != side[0]).any()) if len(side) else False, []
+    for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
-        if across:
-            rest = rest[side[rest] != side[i]]
-        rest = rest[(np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num) & (root[rest] != root[i])]
+        fits = (np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num) & (root[rest] != find(i))
+        rest = rest[fits & (side[rest] != side[i])] if across else rest[fits]
         if not len(rest):
             continue
         far = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1, dtype=np.int64)
         for j in rest[far * (den + num) <= (n[rest] + n[i]) * (den - num)].tolist():
             x, y = find(i), find(j)
-            if x != y and is_similar(sets[i], sets[j], num, den):
+            if x != y and similar(i, j):
                 root[max(x, y)] = min(x, y)
                 links.append((int(ids[i]), int(ids[j])))
     return links
 
 
+def compare(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links among texts."""
+    order = np.argsort(ids, kind="stable")
+    ids, side, data = ids[order], side[order], [texts[i].encode() for i in order]
+    sets = shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64), width)
+    n = np.array([len(s) for s in sets], np.int64)
+    return link(ids, side, n, np.stack([short_sketch(s) for s in sets]), num, den, lambda i, j: is_similar(sets[i], sets[j], num, den))
+
+
+def in_block_pairs(rows: DataFrame, group: str, size: str, doc: str, block: int, few: int) -> DataFrame:
+    """Adds p, q (a pair of blocks of the group), side and slot; groups of one block share slots."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("part", F.pmod(F.xxhash64(doc), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
+    slot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(few))).otherwise(F.xxhash64(group, "p", "q"))
+    return rows.withColumn("slot", slot).drop("blocks", "part", "other")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; links are sets with similarity num/den or more."""
     ship(docs.sparkSession)
@@ -225,20 +249,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     to_first = known.filter("n_shingles > 0 and doc_id is not null").join(first, ["n_shingles", "s1", "s2"])
     moved = staged(to_first.filter("doc_id <> first").select(F.col("doc_id").alias("id"), "first").distinct(), "moved")
     buckets = max(64, input_bytes(docs) // (8 << 20))
-    edges = candidates(docs.filter("doc_id is not null"), width, Bands(num, den), buckets)
-    edges = staged(edges.distinct(), "candidates")
-    for side in ("a", "b"):  # equal sets stand for their first document
-        edges = edges.join(moved.withColumnRenamed("id", side), side, "left").select(F.coalesce("first", side).alias(side), "b" if side == "a" else "a")
-    clusters = components(edges, "clusters")
-    sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    clusters = clusters.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    clusters = staged(clusters, "cluster_parts")
-    # merged at every size: a broadcast that ends at some size would make the shuffle jump there
-    texts = docs.join(clusters.select(F.col("id").alias("doc_id"), "component", "blocks", "part").hint("merge"), "doc_id")
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "doc_id", "text")
-    # small clusters share a task's batch; a pair of blocks is a group of its own
-    groups = texts.withColumn("slot", F.when((F.col("q") == 0), F.pmod(F.xxhash64("component"), F.lit(max(64, 4 * buckets)))).otherwise(F.xxhash64("component", "p", "q")))
+    groups = candidates(docs.filter("doc_id is not null"), width, Bands(num, den), buckets)
+    # equal sets stand for their first document
+    groups = groups.join(moved.withColumnRenamed("id", "doc"), "doc", "left").select("grp", "size", F.coalesce("first", "doc").alias("doc")).distinct()
+    groups = in_block_pairs(groups, "grp", "size", "doc", block, 4 * buckets).withColumnRenamed("doc", "doc_id")
+    sketches = known.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
+    groups = groups.join(sketches.hint("merge"), "doc_id")
+
+    def prune(pdf):
+        import pandas as pd
+
+        links = []
+        for _, g in pdf.groupby(["grp", "p", "q"], sort=True):
+            g = g.sort_values("doc_id", kind="stable")
+            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), SHORT_WORDS)
+            links += link(g["doc_id"].to_numpy(np.int64), g["side"].to_numpy(), g["n_shingles"].to_numpy(np.int64), sketch, num, den, lambda i, j: True)
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64").drop_duplicates()
+
+    likely = groups.select("slot", "grp", "p", "q", "side", "doc_id", "n_shingles", "sketch").groupBy("slot").applyInPandas(prune, "a long, b long")
+    clusters = staged(components(likely, "clusters"), "cluster_members")
+    sizes = staged(clusters.groupBy("component").count(), "cluster_sizes")
+    clusters = staged(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", F.col("count").alias("size")), "cluster_parts")
+    # documents in no cluster stay where they are; the join is merged at every size, as a broadcast that
+    # ends at some size would make the shuffle jump there
+    near = maybe_among(docs, "doc_id", clusters.select(F.col("doc_id").alias("id")), "maybe").filter("maybe").select("doc_id", "text")
+    texts = in_block_pairs(near.join(clusters.hint("merge"), "doc_id"), "component", "size", "doc_id", block, 4 * buckets)
 
     def verify(pdf):
         import pandas as pd
@@ -249,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             links += compare(g["doc_id"].to_numpy(np.int64), g["text"].tolist(), g["side"].to_numpy(), width, num, den)
         return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
 
-    links = groups.groupBy("slot").applyInPandas(verify, "a long, b long")
+    links = texts.select("slot", "component", "p", "q", "side", "doc_id", "text").groupBy("slot").applyInPandas(verify, "a long, b long")
     found = components(links, "links")
     named = known.join(first, ["n_shingles", "s1", "s2"], "left")
     named = named.join(found.withColumnRenamed("id", "first"), "first", "left")
@@ -259,8 +294,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` but for those whose component has a smaller id; of equal rows one stays."""
     found = staged(near_duplicates(docs, **how), "near_duplicates")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    gone = staged(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
+    rows = maybe_among(rows, "key", gone, "maybe")
+    clear = rows.filter(~F.col("maybe"))
+    rest = rows.filter("maybe").join(gone.withColumnRenamed("id", "key").hint("merge"), "key", "left_anti")
+    out = clear.select("row").union(rest.select("row")).select("row.*")
     twice = staged(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if twice.isEmpty():
         return out
