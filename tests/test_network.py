@@ -111,6 +111,7 @@ def test_task_graph(spark):
     graph.release()
     single = TaskGraph()
     single.add(net(spark, (["A0"], [3]), (["A0"], [3]), im=0))
+    assert single.submit()[0].result()[0]["re"] == 5
     assert single.reduce().scalar() == 5 and single.release() == 2
     assert "digraph" in single.dot()
 
@@ -162,3 +163,13 @@ def test_scan_errors(spark):
     for text in ("[]", '{"tensors": [[[], ["i"], [2], [[1,0],[1]]]]}'):
         with pytest.raises(Exception, match="root must|not a complex"):
             network_json.scan_networks(spark.createDataFrame([(text,)], "value string")).collect()
+
+
+def test_blocked_contraction(spark):
+    a, b = seq(spark, ["i", "j", "k"], [3, 4, 5]), seq(spark, ["k", "l", "j"], [5, 2, 4])
+    want = a.contract(b)
+    for block in (2, 3, 64):
+        got = blocks.contract_blocked(a, b, block)
+        assert got.labels == want.labels and np.allclose(got.data(), want.data())
+    with pytest.raises(ValueError):
+        blocks.contract_blocked(a, seq(spark, ["z"], [2]))

@@ -5,6 +5,7 @@ Unlike SQL's array functions these keep order and duplicates of the first list.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -49,6 +50,10 @@ def split_once(text: str, mark: str) -> list[str]:
     return text.split(mark, 1) if mark in text else [text]
 
 
+def split_all(text: str, mark: str) -> list[str]:
+    return text.split(mark)
+
+
 def split_marks(text: str, marks: Sequence[str]) -> list[str]:
     """Splits at each mark once, in order, after white space is taken out; without empty parts."""
     parts = ["".join(text.split())]
@@ -114,3 +119,11 @@ def shape_size(shape: Column) -> Column:
 def factorial(n: Column) -> Column:
     """Null above 20, where 64 bits end."""
     return F.factorial(n)
+
+
+def split_all_column(text: Column, mark: str) -> Column:
+    return F.split(text, re.escape(mark))
+
+
+def split_once_column(text: Column, mark: str) -> Column:
+    return F.split(text, re.escape(mark), 2)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from weftnet.functions.positions import ravel_column, strides, unravel
+from weftnet.functions.positions import ravel_column, strides, unravel, unravel_columns
 from weftnet.operators.network import Network, n_slices
 from weftnet.operators.tensor import Tensor, _names, _summed
 from weftnet.plans.path import Path, PathPlan
@@ -124,3 +124,62 @@ def apply_matrix(re, im, dims: Sequence[int], wires: Sequence[int], matrix: np.n
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(int(np.prod(dims)) - 1).cast("long")), one)
 
     return place(0), place(1)
+
+
+def contract_blocked(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
+    """Contraction of dense tensors in square blocks: a join of blocks on the summed index, numpy products, a sum.
+
+    Where both operands are dense, the join of relations makes a row a multiplication; this makes one for
+    each value of a pair of blocks. A block holds block**2 values at most. Labels keep the order of
+    Tensor.contract; an unknown dimension may only be that of a single free label.
+    """
+    from pyspark.sql import functions as F
+
+    shared = [x for x in a.labels if x in b.labels]
+    if not shared:
+        raise ValueError("a blocked contraction needs a shared label")
+    free = [[x for x in t.labels if x not in shared] for t in (a, b)]
+
+    def line(t: Tensor, labels: Sequence[str]):
+        """Position along labels as one column."""
+        if len(labels) == 1:
+            return t.column(labels[0])
+        return ravel_column([t.column(x) for x in labels], [_known(t, x) for x in labels])
+
+    def packed(t: Tensor, rows: Sequence[str], columns: Sequence[str], prefix: str):
+        df = t.df.select(line(t, rows).alias("i"), line(t, columns).alias("j"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+        part = lambda c: F.call_function("div", F.col(c), F.lit(block)).alias(f"{prefix}{c}")
+        value = F.struct(F.pmod("i", F.lit(block)).cast("int").alias("i"), F.pmod("j", F.lit(block)).cast("int").alias("j"), "re", "im")
+        return df.groupBy(part("i"), part("j")).agg(F.collect_list(value).alias(f"{prefix}values"))
+
+    left, right = packed(a, free[0], shared, "a"), packed(b, shared, free[1], "b")
+    pairs = left.join(right, F.col("aj") == F.col("bi")).select("ai", "bj", "avalues", "bvalues")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                m = []
+                for values in (row.avalues, row.bvalues):
+                    x = np.zeros((block, block), np.complex128)
+                    np.add.at(x, ([v["i"] for v in values], [v["j"] for v in values]), [complex(v["re"], v["im"]) for v in values])
+                    m.append(x)
+                out = m[0] @ m[1]
+                i, j = np.nonzero(out)
+                yield pd.DataFrame({"i": i + row.ai * block, "j": j + row.bj * block, "re": out[i, j].real, "im": out[i, j].imag})
+
+    found = pairs.mapInPandas(run, "i long, j long, re double, im double")
+    found = found.groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).filter("re <> 0 OR im <> 0")
+    labels, columns = [*free[0], *free[1]], []
+    for c, t, part in (("i", a, free[0]), ("j", b, free[1])):
+        columns += [F.col(c)] if len(part) == 1 else unravel_columns(F.col(c), [_known(t, x) for x in part])
+    rows = found.select(*[c.alias(n) for n, c in zip(_names(len(labels)), columns, strict=True)], "re", "im")
+    return Tensor(rows, tuple(labels), tuple([a.dim(x) for x in free[0]] + [b.dim(x) for x in free[1]]))
+
+
+def _known(t: Tensor, label: str) -> int:
+    d = t.dim(label)
+    if d is None:
+        raise ValueError(f"the number of values of {label!r} isn't known")
+    return d

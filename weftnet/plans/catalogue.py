@@ -99,6 +99,14 @@ def t01_multi_label(spark, sf_dir):
     return t.contract(t.transpose(["p", "s"])).shown()
 
 
+@query("t02a_blocked", f"WITH {EMB} SELECT v, c, sum(x * (pos * c % 7 - 3))::DOUBLE AS re, 0.0::DOUBLE AS im FROM emb, range(20) r(c) GROUP BY v, c HAVING sum(x * (pos * c % 7 - 3)) <> 0")
+def t02a_blocked(spark, sf_dir):
+    """Embeddings as a matrix times another matrix, in blocks."""
+    states = tables.embeddings(spark, sf_dir).reshape([64], batch=["v"])
+    m = spark.range(64 * 20).select(F.expr("id div 20").alias("x0"), (F.col("id") % 20).alias("x1"), (F.expr("id div 20") * (F.col("id") % 20) % 7 - 3).alias("re"), F.lit(0).cast("long").alias("im"))
+    return blocks.contract_blocked(states, Tensor(m, ("?a", "c"), (64, 20)), block=32).shown()
+
+
 @query("t03_add", f"WITH {SP} SELECT s, p, (2 * re)::BIGINT AS re, (2 * im)::BIGINT AS im FROM sp")
 def t03_add(spark, sf_dir):
     return tables.line_items(spark, sf_dir, "s", "p").add(tables.line_items(spark, sf_dir, "p", "s")).shown()
@@ -510,3 +518,9 @@ def u_matrix_sum(spark, sf_dir):
 @query("u_diagonal", "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, round(exp(1.0) * cos(2.0), 6), round(exp(1.0) * sin(2.0), 6)), (1, 1, round(exp(3.0), 6), 0.0)) t(i, j, re, im)")
 def u_diagonal(spark, sf_dir):
     return rounded(matrices.diagonal_exp(matrices.diagonal(spark, [1 + 2j, 3])).shown(), "re", "im")
+
+
+@query("u_split", "SELECT * FROM (VALUES ('a.b.c', ['a', 'b', 'c'], ['a', 'b.c'], 'a-b-c'), ('x', ['x'], ['x'], 'x')) t(text, parts, once, replaced)")
+def u_split(spark, sf_dir):
+    rows, t = spark.createDataFrame([("a.b.c",), ("x",)], "text string"), F.col("text")
+    return rows.select(t, L.split_all_column(t, ".").alias("parts"), L.split_once_column(t, ".").alias("once"), F.replace(t, F.lit("."), F.lit("-")).alias("replaced"))

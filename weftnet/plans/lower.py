@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -91,6 +92,13 @@ class TaskGraph:
     def contract(self) -> list[DataFrame]:
         return [t.df for t in self.results]
 
+    def submit(self, action=lambda df: df.collect()) -> list[Future]:
+        """Starts an action on every result at once; independent jobs run side by side."""
+        pool = ThreadPoolExecutor(max_workers=max(1, min(8, len(self.results))))
+        out = [pool.submit(action, df) for df in self.contract()]
+        pool.shutdown(wait=False)
+        return out
+
     def dot(self) -> str:
         """The task graph in DOT."""
         lines = [f'  "{a}" -> "{b}";' for a, b in self.edges]
