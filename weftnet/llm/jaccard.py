@@ -35,6 +35,8 @@ from weftnet.llm.components import components
 #: Bits of a sketch segment (few are set: a segment is kept as the hash of their places); words of the short
 #: sketch that is compared before sets are; segments beyond d + 1 for each d.
 SEGMENT, SHORT_WORDS, SPARE = 1 << 24, 16, 0.5
+#: Bytes of text that are hashed at once.
+TEXT_BYTES = 2 << 20
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 
 
@@ -126,7 +128,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             "s2": pa.array([d[1] for d in digests], pa.int64()), "sketch": pa.array([short_sketch(s).tobytes() for s in sets], pa.binary()),
         }
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary", 2 << 20)
+    return map_batches(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary", TEXT_BYTES)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -180,7 +182,7 @@ def candidates(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataF
         at = np.repeat(begin[kept] - (np.cumsum(size[kept]) - size[kept]), size[kept]) + np.arange(size[kept].sum())
         return pd.DataFrame({"grp": np.repeat(name[kept], size[kept]).view(np.int64), "size": np.repeat(size[kept], size[kept]), "doc": owner[at]})
 
-    packed = map_batches(docs, emit, "bucket int, keys binary, docs binary", 16 << 20)
+    packed = map_batches(docs, emit, "bucket int, keys binary, docs binary", 2 * TEXT_BYTES)
     return packed.groupBy("bucket").applyInPandas(meet, "grp long, size long, doc long")
 
 
@@ -226,7 +228,15 @@ def compare(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, num
     """Verified links among texts."""
     order = np.argsort(ids, kind="stable")
     ids, side, data = ids[order], side[order], [texts[i].encode() for i in order]
-    sets = shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64), width)
+    sets, at = [], 0
+    while at < len(data):  # a few texts at a time: hashing needs many times their size
+        end, size = at + 1, len(data[at])
+        while end < len(data) and size + len(data[end]) <= TEXT_BYTES:
+            size += len(data[end])
+            end += 1
+        part = data[at:end]
+        sets += shingle_sets(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in part])]).astype(np.int64), width)
+        at = end
     n = np.array([len(s) for s in sets], np.int64)
     return link(ids, side, n, np.stack([short_sketch(s) for s in sets]), num, den, lambda i, j: is_similar(sets[i], sets[j], num, den))
 
