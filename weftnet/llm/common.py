@@ -111,9 +111,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+ARROW_ROWS = 1000
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """`df.mapInArrow` with this package at hand on the executors."""
+    """`df.mapInArrow` with this package at hand on the executors, in batches of ARROW_ROWS at most."""
     ship(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
     return df.mapInArrow(fn, schema)
 
 

@@ -314,7 +314,7 @@ def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
         parts.append(packed(ASK, doc_slot(d[first], slots), d[first], t[first], start[first], np.abs(n[first]), hf, lot.astype(np.uint64)))
         return pd.concat([pa.RecordBatch.from_pydict(p).to_pandas() for p in parts if p] or [pdf.head(0)])
 
-    found = map_batches(docs.select("doc", "text_hash", "text"), emit, PACKED, 4 << 20)
+    found = map_batches(docs.select("doc", "text_hash", "text"), emit, PACKED, 2 << 20)
     found = staged(found.groupBy("kind", "slot").applyInPandas(meet, PACKED), "runs")
 
     def fetch(key, left, right):
