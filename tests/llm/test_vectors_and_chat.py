@@ -52,10 +52,75 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_windows_reach_everything_where_few_vectors_are():
+SEARCH = {"count": 256, "threshold": 0.7, "verify": 0.015, "first": 0.95, "growth": 1.25, "cells": 128, "band": 1.2}
+
+
+def vectors_of(kind, n, dim=64):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(n, dim))
+    if kind == "clustered":
+        x = r.normal(size=(40, dim))[r.integers(0, 40, n)] + 0.3 * x
+    elif kind == "log-normal norms":
+        x *= np.exp(r.normal(size=(n, 1)))
+    elif kind == "one outlier":
+        x[5] *= 1e4
+    elif kind == "huge and tiny":
+        x[5] *= 1e200
+        x[77] *= 1e-200
+    return x
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "log-normal norms", "one outlier", "huge and tiny"])
+def test_recall_over_blocks(kind):
+    """Recall of the 20 nearest against brute force over three blocks, and the share of vectors that are verified."""
+    n, size = 20000, 8192
+    x, ids, qids, seen, found = vectors_of(kind, n), np.arange(n), np.arange(0, n, 400), [], {}
+    for at in range(0, n, size):
+        for q, rows, scores in ann.search_block(ids[at : at + size], x[at : at + size], qids, x[qids], 20, **SEARCH, seen=seen):
+            found.setdefault(int(q), []).extend(zip((-scores).tolist(), ids[at + rows].tolist(), strict=True))
+    hits = []
+    for q in qids.tolist():
+        with np.errstate(over="ignore"):
+            s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len({i for _, i in sorted(found[q])[:20]} & set(np.lexsort((ids, -s))[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+    if kind == "even":
+        assert sum(seen) < 0.05 * n * len(qids)
+
+
+def test_few_vectors_and_copies():
     x = np.random.default_rng(3).normal(size=(7, 5))
-    (_, found, scores) = next(ann.search_block(np.arange(7), x, [0], x[:1], 20, 128, 0.5, 0.1, 0.6, 1.15))
+    _, found, scores = next(ann.search_block(np.arange(7), x, [0], x[:1], 20, **SEARCH))
     assert sorted(found) == [1, 2, 3, 4, 5, 6] and (np.diff(scores) <= 0).all()
+    x = np.random.default_rng(4).normal(size=(900, 16))
+    x[100:700] = x[7]  # a group of copies: the smallest ids come first
+    _, found, scores = next(ann.search_block(np.arange(900), x, [7], x[7:8], 20, **SEARCH))
+    assert found.tolist() == list(range(100, 120)) and len(set(scores.tolist())) == 1
+
+
+def test_products_without_overflow():
+    x = np.array([[1e200, 1e200], [1e200, -1e200], [1e-200, 0.0], [3.0, 4.0]])
+    unit, norm = ann.units(x)
+    assert np.allclose((unit * unit).sum(1), 1) and np.allclose(norm[3], np.log2(5)) and np.isfinite(norm).all()
+    assert ann.products(x, x[0], False).tolist() == [np.inf, 0.0, 1.0, 7e200]
+    assert {int(q): rows.tolist() for q, rows, _ in ann.search_block(np.arange(4), x, np.arange(4), x, 20, **SEARCH)}[0] == [3, 2, 1]
+
+
+def test_blocks_and_query_blocks(spark):
+    """Many blocks and query blocks, a hot id and a hot row give what one block gives."""
+    x = np.random.default_rng(6).integers(-4, 5, (400, 6)).astype(float)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(3, x[3].tolist())] * 150 + [(4, [float(k), 1.0, 0.0, 0.0, 2.0, -1.0]) for k in range(60)]
+    df = vectors.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), zero=True)
+
+    def search(ids, x, qids, q):
+        for j in range(len(q)):
+            best = vectors.best_of(ids, x @ q[j], qids[j], 7)
+            yield qids[j], best, (x @ q[j])[best]
+
+    some = [sorted(map(tuple, vectors.block_search(df, F.col("vec_id") % 20 == 0, search, 7, "double", block_rows=b, query_rows=q).collect())) for b, q in ((100_000, 100_000), (64, 5))]
+    assert some[0] == some[1] and len(some[0]) == 7 * 20
+    assert max(sum(1 for r in some[0] if r[0] == q and r[2] == 3) for q in range(0, 400, 20)) <= 7
 
 
 def test_bit_slices_add_up():
@@ -94,13 +159,24 @@ def test_boundary_rows(dropped):
         v = np.floor(256 * x).astype(int)
         exact = v @ v[qid // 3]
         want = sorted((-int(s), int(i)) for s, i in zip(exact, ids, strict=True) if i != qid)[:5]
-        assert [(-int(s), int(i)) for s, i in zip(scores, found, strict=True)] == want
+        assert [(-int(s), int(i)) for s, i in zip(scores, ids[found], strict=True)] == want
 
 
-def test_wide_components():
-    x = np.array([[1e6, 2.0], [1e300, 1.0], [3.0, -1e300], [1.0, 1.0]])
-    for _, found, scores in bitslice.search_block(np.arange(4), x, np.arange(4), x, 3, 256.0, 3, 64):
-        assert len(found) == 3 and all(-(1 << 63) <= s < 1 << 63 for s in scores.tolist())
+@pytest.mark.parametrize("seed", [0, 1])
+def test_wide_components(seed):
+    """Components beyond what sums of longs hold, in rows and in queries, against unbounded integers."""
+    r = np.random.default_rng(seed)
+    x = np.concatenate([np.array([[1e6, 2.0], [1e300, 1.0], [3.0, -1e300], [1.0, 1.0], [1.7e308, -1.7e308], [-1e12, 1e12], [-1e12, 1e12]]), r.normal(size=(60, 2)), r.normal(size=(30, 2)) * 10.0 ** r.integers(0, 200, (30, 1))])
+    ids = np.arange(len(x)) * 2
+    ids[6] = ids[5]
+    exact = [[c.as_integer_ratio()[0] * 256 // c.as_integer_ratio()[1] for c in row] for row in x.tolist()]
+    seen = 0
+    for j, (qid, found, scores) in enumerate(bitslice.search_block(ids, x, ids, x, 5, 256.0, 3, 64)):
+        want = sorted((-sum(a * b for a, b in zip(exact[i], exact[j], strict=True)), int(ids[i])) for i in range(len(x)) if ids[i] != ids[j])[:5]
+        assert ids[found].tolist() == [i for _, i in want]
+        assert scores.tolist() == [min(max(-s, -(1 << 63)), (1 << 63) - 1) for s, _ in want]
+        seen += 1
+    assert seen == len(x)
 
 
 def test_usable(spark):
