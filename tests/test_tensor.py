@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftnet.operators import matrices
 from weftnet.operators.tensor import Tensor, add_all
@@ -17,25 +18,27 @@ def array(t):
     return np.array(t.data()).reshape(t.dims)
 
 
-def test_dot(spark):
-    assert seq(spark, ["A0"], [3]).contract(seq(spark, ["A0"], [3])).scalar() == -15 + 20j
+def drawn(spark, seed, labels, dims):
+    r = np.random.default_rng(seed)
+    x = r.integers(-5, 6, dims) + 1j * r.integers(-5, 6, dims)
+    return Tensor.from_data(spark, labels, dims, x.ravel().tolist()), x
 
 
-def test_matrix_vector(spark):
-    t = seq(spark, ["A0", "B1"], [3, 2]).contract(seq(spark, ["A0"], [3]))
-    assert t.labels == ("B1",)
-    assert t.data() == [-30 + 40j, -39 + 52j]
-
-
-def test_matrix_matrix(spark):
-    t = seq(spark, ["A0", "B1"], [2, 3]).contract(seq(spark, ["C2", "B1"], [3, 3]))
-    assert t.labels == ("A0", "C2")
-    assert t.data() == [-15 + 20j, -42 + 56j, -69 + 92j, -42 + 56j, -150 + 200j, -258 + 344j]
+@pytest.mark.parametrize(
+    ("left", "right", "rule", "labels"),
+    [("k", "k", "k,k->", ()), ("mk", "k", "mk,k->m", ("m",)), ("k", "nk", "k,nk->n", ("n",)), ("mk", "nk", "mk,nk->mn", ("m", "n")), ("mkn", "nq", "mkn,nq->mkq", ("m", "k", "q"))],
+)
+def test_products(spark, left, right, rule, labels):
+    size = {"k": 4, "m": 2, "n": 3, "q": 5}
+    (a, x), (b, y) = drawn(spark, 1, list(left), [size[c] for c in left]), drawn(spark, 2, list(right), [size[c] for c in right])
+    t = a.contract(b)
+    assert t.labels == labels
+    assert np.array_equal(array(t), np.einsum(rule, x, y))
 
 
 def test_two_shared_labels_and_outer(spark):
-    a = seq(spark, ["A0", "B1"], [3, 2])
-    assert a.contract(a).scalar() == -165 + 220j
+    a, x = drawn(spark, 3, ["u", "v"], [4, 3])
+    assert a.contract(a.transpose(["v", "u"])).scalar() == (x * x).sum()
     outer = seq(spark, ["a"], [2]).contract(seq(spark, ["b"], [3]))
     assert outer.labels == ("a", "b")
     assert np.allclose(array(outer), np.multiply.outer(array(seq(spark, ["a"], [2])), array(seq(spark, ["b"], [3]))))
@@ -137,6 +140,35 @@ def test_precision(spark):
     assert dict(t.df.dtypes)["re"] == "float"
 
 
+def test_repeated_coordinates(spark):
+    """An operand whose rows aren't summed yet gives the same as its sum, in every operator."""
+    rows = spark.createDataFrame([(0, 1.0), (0, 2.0), (2, 5.0), (2, -1.0)], "i long, x double")
+    loose, whole = (Tensor.from_relation(rows, {"i": F.col("i")}, F.col("x"), dims={"i": 3}, summed=s) for s in (False, True))
+    assert not loose.summed and whole.summed and loose.equals(whole) and whole.equals(loose)
+    other = seq(spark, ["j"], [2])
+    outer = loose.contract(other)
+    assert not outer.summed and outer.shown().count() == 2 and outer.equals(whole.contract(other))
+    assert loose.densify().df.count() == 3 and loose.densify().data() == [3, 0, 4]
+    assert loose.transpose(["i"]).scale(2).conj().rename("i", "k").densify().data() == [6, 0, 8]
+    assert loose.contract(loose).summed and loose.contract(loose).scalar() == 25
+    assert loose.add(loose).data() == [6, 0, 8] and loose.set_value([0], 7).densify().data() == [7, 0, 4]
+    assert np.allclose(matrices.diagonal_exp(Tensor.from_relation(rows, {"i": F.col("i"), "j": F.col("i")}, F.col("x"), dims={"i": 3, "j": 3}, summed=False)).data(), np.diag(np.exp([3, 0, 4])).ravel())
+    with pytest.raises(Exception, match="out of range"):
+        Tensor.from_relation(rows, {"i": F.col("i")}, F.col("x"), dims={"i": 2}, check=True).df.collect()
+
+
+def test_random_does_not_depend_on_partitions(spark):
+    rows = lambda t: sorted(map(tuple, t.df.collect()))
+    want = rows(Tensor.random(spark, ["a", "b"], [30, 20], seed=5))
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "11")
+    try:
+        assert rows(Tensor.random(spark, ["a", "b"], [30, 20], seed=5)) == want
+    finally:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", before) if before else spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert rows(Tensor.random(spark, ["a"], [50])) != rows(Tensor.random(spark, ["a"], [50]))
+
+
 def test_matrices(spark):
     m = Tensor.from_data(spark, ["i", "j"], [2, 2], [1, 2j, 3, 4])
     x = array(m)

@@ -1,3 +1,3 @@
 """Labelled tensors and tensor networks as Spark relations."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftnet.circuits.gates import Gate
 from weftnet.circuits.states import State, basis, qudit
 from weftnet.operators.network import Network
-from weftnet.operators.tensor import Tensor
+from weftnet.operators.tensor import Tensor, as_precision
 from weftnet.plans.path import PathPlan, best_path, greedy_path
 
 
@@ -59,8 +59,13 @@ class Circuit:
             if self.wires[k].closed:
                 raise ValueError(f"wire {k} is closed")
 
+    def _check_dim(self, part: Gate | State) -> None:
+        if part.dim != self.dim:
+            raise ValueError(f"{part.name} acts on wires of {part.dim} values, but the circuit's wires have {self.dim}")
+
     def append_gate(self, gate: Gate, ids: Sequence[int]) -> None:
         self._check(ids, gate.wires)
+        self._check_dim(gate)
         before = [self.wires[k].label for k in ids]
         for k in ids:
             self.wires[k].depth += 1
@@ -70,6 +75,7 @@ class Circuit:
     def append_state(self, state: State, ids: Sequence[int]) -> None:
         """Ends wires in a state."""
         self._check(ids, state.wires)
+        self._check_dim(state)
         for k in ids:
             self.wires[k].closed = True
         self.operations.append(Operation(state, tuple(ids)))
@@ -92,14 +98,14 @@ class Circuit:
 
     # Results.
 
-    def amplitudes(self, spark: SparkSession, samples: int = 0, seed: int = 0) -> Tensor:
-        """The tensor of the open wires, in the order of wires."""
-        network = self.network(spark)
+    def amplitudes(self, spark: SparkSession, samples: int = 0, seed: int = 0, precision: str = "double") -> Tensor:
+        """The tensor of the open wires, in the order of wires; gates, states and values have the precision."""
+        network = self.network(spark, precision)
         if network.n_tensors == 1:
             return network.nodes[0].tensor
         leaves, dims = network.leaves(), network.dims()
         path = best_path(leaves, dims, samples, seed) if samples else greedy_path(leaves, dims)
-        return network.contract(path).transpose(self.open_labels)
+        return as_precision(network.contract(path).transpose(self.open_labels), precision)
 
     def amplitude(self, spark: SparkSession, state: Sequence[int], **how) -> complex:
         """The amplitude of a basis state of all wires."""

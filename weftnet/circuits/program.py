@@ -1,6 +1,6 @@
 """Programs: a small text form of circuits, and their results.
 
-    use <name>;                          ignored
+    use <name>;  out name;               ignored
     options: dimension: 3; end;          values a wire
     gate Name(a, b)[x, y]: RX(a) | [x]; end;
     obs Name[x]: 1, Z[x]; end;
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from weftnet.circuits.circuit import Circuit, Operation
-from weftnet.circuits.gates import gates
+from weftnet.circuits.gates import Registry, gates
 
 #: Names of output statements.
 OUTPUTS = ["Amplitude", "amplitude", "Expval", "expval", "Probabilities", "probabilities"]
@@ -131,7 +131,7 @@ def parse(text: str) -> Program:
             stop = rest.find(";")
             if stop < 0:
                 raise ValueError(f"a statement has no end: {rest.strip()!r}")
-            if not re.match(r"use\b", rest):
+            if not re.match(r"(use|out)\b", rest):
                 out.statements.append(statement(rest[:stop]))
             at += stop + 1
             continue
@@ -153,6 +153,8 @@ def parse(text: str) -> Program:
         if not m:
             raise ValueError(f"can't read the definition {block[1]!r}")
         d = Definition(m["name"], split_top(m["params"] or ""), None if m["wires"] is None else split_top(m["wires"]))
+        if is_gate and block[1][-1] == ";" and d.name in gates.kinds:
+            continue  # a declaration of what is there already
         if is_gate:
             d.body = [statement(x) for x in lines]
             if d.wires is None:
@@ -168,10 +170,35 @@ def parse(text: str) -> Program:
     return out
 
 
-def manifest(spark: SparkSession) -> DataFrame:
-    """Gates and outputs that a program may use: kind, name, params, wires."""
-    rows = [("gate", n, list(k.params), k.wires) for n, k in sorted(gates.kinds.items())] + [("out", n, [], None) for n in OUTPUTS]
-    return spark.createDataFrame(rows, "kind string, name string, params array<string>, wires int")
+@dataclass(frozen=True)
+class Declaration:
+    """What a program may use: a gate with its parameters and number of wires, or an output."""
+
+    kind: str
+    name: str
+    params: tuple[str, ...] = ()
+    wires: int | None = None
+
+    def __str__(self) -> str:
+        shown = f"({', '.join(self.params)})" if self.params else ""
+        return f"{self.kind} {self.name}{shown}{'' if self.wires is None else str(list(range(self.wires)))};"
+
+
+def declarations(registry: Registry = gates) -> list[Declaration]:
+    """Declarations of all gates of a registry by name, then of the outputs."""
+    found = [Declaration("gate", n, k.params, k.wires) for n, k in sorted(registry.kinds.items())]
+    return found + [Declaration("out", n) for n in sorted(OUTPUTS)]
+
+
+def declared_text(registry: Registry = gates) -> str:
+    """The declarations as a program, one a line; `parse` reads it."""
+    return "\n".join(map(str, declarations(registry)))
+
+
+def manifest(spark: SparkSession, registry: Registry = gates) -> DataFrame:
+    """The declarations as rows: kind, name, params, wires, text."""
+    rows = [(d.kind, d.name, list(d.params), d.wires, str(d)) for d in declarations(registry)]
+    return spark.createDataFrame(rows, "kind string, name string, params array<string>, wires int, text string")
 
 
 def _expand(program: Program, s: Statement, values: dict[str, float], wires: dict[str, str], above: tuple[str, ...]) -> Iterator[Statement]:
@@ -180,21 +207,21 @@ def _expand(program: Program, s: Statement, values: dict[str, float], wires: dic
     d = program.gates.get(s.name)
     if d is None:
         if s.name not in gates.kinds:
-            raise ValueError(f"Statement '{s.text}' applies a gate which has not been defined.")
+            raise ValueError(f"no gate {s.name!r} to use in {s.text!r}")
         yield bound
         return
     if s.name in above:
-        raise ValueError(f"Gate '{s.name}' has a circular dependency.")
+        raise ValueError(f"the gate {s.name!r} contains itself: {' > '.join([*above, s.name])}")
     if bound.named and not bound.args:
         if set(bound.named) != set(d.params):
-            raise ValueError(f"Statement '{s.text}' has an invalid set of parameters.")
+            raise ValueError(f"{s.name!r} has parameters {d.params}, {s.text!r} names {sorted(bound.named)}")
         inner = {k: float(v) for k, v in bound.named.items()}
     else:
         if len(bound.args) != len(d.params) or bound.named:
-            raise ValueError(f"Statement '{s.text}' has the wrong number of parameters.")
+            raise ValueError(f"{s.name!r} takes {len(d.params)} parameters, unlike {s.text!r}")
         inner = dict(zip(d.params, map(float, bound.args), strict=True))
     if len(bound.wires) != len(d.wires or []):
-        raise ValueError(f"Statement '{s.text}' has the wrong number of wires.")
+        raise ValueError(f"{s.name!r} takes {len(d.wires or [])} wires, unlike {s.text!r}")
     onto = dict(zip(d.wires or [], bound.wires, strict=True))
     for x in d.body:
         yield from _expand(program, x, inner, onto, (*above, s.name))
@@ -203,49 +230,61 @@ def _expand(program: Program, s: Statement, values: dict[str, float], wires: dic
 def _dimension(options: dict[str, str]) -> int:
     for k in options:
         if k != "dimension":
-            warnings.warn(f"Option '{k}' is not supported and will be ignored.", stacklevel=3)
+            warnings.warn(f"unknown option {k!r}, left out", stacklevel=3)
     text = options.get("dimension", "2")
     if not re.fullmatch(r"[+-]?\d+", text):
-        raise ValueError("Option 'dimension' must be an integer.")
+        raise ValueError(f"the dimension {text!r} is no whole number")
     if int(text) < 2:
-        raise ValueError("Option 'dimension' must be greater than one.")
+        raise ValueError(f"wires have 2 values at least, not {text}")
     return int(text)
 
 
+def _gate(x: Statement, dim: int, **how):
+    """A registered gate; gates of any dimension take the circuit's."""
+    return gates.create(x.name, *map(float, x.args), dim=dim if gates.kinds[x.name].fock else 2, **how, **{k: float(v) for k, v in x.named.items()})
+
+
 def run(spark: SparkSession, program: Program | str, **how) -> list:
-    """Results of the output statements: complex numbers, or lists of probabilities."""
+    """Results of the output statements: complex numbers, or lists of probabilities.
+
+    `precision`, `samples` and `seed` go on to the contraction.
+    """
     program = parse(program) if isinstance(program, str) else program
     dim = _dimension(program.options)
     circuit, out = _build(program, dim), []
-    done: list[Statement] = []
     for s in program.statements:
         if s.name not in OUTPUTS:
             for x in _expand(program, s, {}, {}, ()):
-                done.append(x)
-                circuit.append_gate(gates.create(x.name, *map(float, x.args), dim=dim if gates.kinds[x.name].fock else 2, **{k: float(v) for k, v in x.named.items()}), [int(w) for w in x.wires])
+                try:
+                    circuit.append_gate(_gate(x, dim), [int(w) for w in x.wires])
+                except ValueError as e:
+                    raise ValueError(f"in {x.text!r}: {e}") from e
             continue
         every = [str(w.id) for w in circuit.wires]
         kind = s.name.lower()
         if kind == "amplitude":
             state = _state(s, dim)
-            if s.wires != every:
-                raise ValueError(f"Statement '{s.text}' must be applied to [0 .. {len(every) - 1}].")
+            _on_every(s, every)
             out.append(circuit.amplitude(spark, state, **how))
         elif kind == "probabilities":
-            if s.wires != every:
-                raise ValueError(f"Statement '{s.text}' must be applied to [0 .. {len(every) - 1}].")
+            _on_every(s, every)
             out.append([r["probability"] for r in circuit.probabilities(spark, **how).orderBy("position").collect()])
         else:
-            out.append(circuit.expectation(spark, _observable(program, s, every), **how))
+            out.append(circuit.expectation(spark, _observable(program, s, every, dim), **how))
     return out
 
 
+def _on_every(s: Statement, every: Sequence[str]) -> None:
+    if s.wires != list(every):
+        raise ValueError(f"{s.text!r} needs all wires in their order, [{', '.join(every)}]")
+
+
 def _build(program: Program, dim: int) -> Circuit:
     """A circuit with the wires that statements use."""
     used = [int(w) for s in program.statements for w in s.wires if w.isdigit()]
     for s in program.statements:
         if s.name not in OUTPUTS and s.name not in program.gates and s.name not in gates.kinds:
-            raise ValueError(f"Statement '{s.text}' is not supported.")
+            raise ValueError(f"{s.text!r} is neither a gate nor an output")
         if s.name in program.gates or s.name in gates.kinds:
             list(_expand(program, s, {}, {}, ()))
     return Circuit(max(used, default=-1) + 1, dim)
@@ -254,33 +293,32 @@ def _build(program: Program, dim: int) -> Circuit:
 def _state(s: Statement, dim: int) -> list[int]:
     text = s.named.get("state")
     if text is None:
-        raise ValueError(f"Statement '{s.text}' is missing a 'state' parameter.")
+        raise ValueError(f"{s.text!r} doesn't say which state")
     state = [int(x) for x in split_top(text.strip()[1:-1])]
     if len(state) != len(s.wires):
-        raise ValueError(f"Statement '{s.text}' has a 'state' parameter with {len(state)} (!= {len(s.wires)}) entries.")
+        raise ValueError(f"{s.text!r}: a state of {len(state)} values for {len(s.wires)} wires")
     if any(not 0 <= x < dim for x in state):
-        raise ValueError(f"Statement '{s.text}' has a 'state' parameter with at least one entry that falls outside the range [0, {dim}).")
+        raise ValueError(f"{s.text!r}: the values of a state go from 0 to {dim - 1}")
     return state
 
 
-def _observable(program: Program, s: Statement, every: Sequence[str]) -> list[Operation]:
+def _observable(program: Program, s: Statement, every: Sequence[str], dim: int) -> list[Operation]:
     name = s.named.get("observable")
     if name is None:
-        raise ValueError(f"Statement '{s.text}' is missing an 'observable' parameter.")
+        raise ValueError(f"{s.text!r} doesn't say which observable")
     d = program.observables.get(name)
     if d is None or not d.body:
-        raise ValueError(f"Statement '{s.text}' has an 'observable' parameter which references an undefined observable.")
+        raise ValueError(f"there is no observable {name!r} with terms")
     if d.params:
-        raise ValueError(f"Statement '{s.text}' has an 'observable' parameter which references a parameterized observable.")
-    if s.wires != list(every):
-        raise ValueError(f"Statement '{s.text}' must be applied to [0 .. {len(every) - 1}].")
+        raise ValueError(f"the observable {name!r} has parameters, which an output can't give")
+    _on_every(s, every)
     if len(d.wires or []) != len(s.wires):
-        raise ValueError(f"Statement '{s.text}' has an 'observable' parameter which applies the wrong number of wires.")
+        raise ValueError(f"the observable {name!r} has {len(d.wires or [])} wires, not {len(s.wires)}")
     onto, out = dict(zip(d.wires or [], s.wires, strict=True)), []
     for factor, terms, text in d.body:
         try:
             scalar = number(factor, {})
         except ValueError as e:
-            raise ValueError(f"Observable statement '{text}' has a prefactor ({factor}) which cannot be converted to a floating-point number.") from e
-        out += [Operation(gates.create(g, scalar=scalar), (int(onto[w]),)) for g, w in terms]
+            raise ValueError(f"the factor {factor!r} of the term {text!r} is no number") from e
+        out += [Operation(_gate(Statement(g), dim, scalar=scalar), (int(onto[w]),)) for g, w in terms]
     return out

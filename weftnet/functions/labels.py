@@ -127,3 +127,32 @@ def split_all_column(text: Column, mark: str) -> Column:
 
 def split_once_column(text: Column, mark: str) -> Column:
     return F.split(text, re.escape(mark), 2)
+
+
+def split_marks_column(text: Column, marks: Sequence[str]) -> Column:
+    """As split_marks."""
+    parts = F.array(F.regexp_replace(text, r"\s", ""))
+    for mark in marks:
+        size = F.size(parts)
+        parts = F.concat(F.slice(parts, F.lit(1), size - 1), split_once_column(F.element_at(parts, -1), mark))
+    return F.filter(parts, lambda p: p != "")
+
+
+def listed_column(items: Column) -> Column:
+    """An array as text: {a  b  c}."""
+    return F.concat(F.lit("{"), F.array_join(items.cast("array<string>"), "  "), F.lit("}"))
+
+
+def paired_column(a: Column, b: Column) -> Column:
+    """Two values as text: {a,b}."""
+    return F.concat(F.lit("{"), a.cast("string"), F.lit(","), b.cast("string"), F.lit("}"))
+
+
+def memory_kb() -> tuple[int, int]:
+    """Total and available memory of this machine in kB (-1 where the system doesn't say)."""
+    try:
+        with open("/proc/meminfo") as f:
+            found = {name: int(rest.split()[0]) for name, _, rest in (line.partition(":") for line in f) if rest.split()}
+    except OSError:
+        return -1, -1
+    return found.get("MemTotal", -1), found.get("MemAvailable", -1)

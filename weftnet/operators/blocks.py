@@ -71,15 +71,17 @@ def contract_rows(batch: DataFrame, values: str, labels: Sequence[str], dims: Se
 
     Returns the key columns, and re and im as arrays in row-major order over the result's labels.
     """
-    leaves = [(list(n.tensor.labels), np.array(n.tensor.data(), np.complex128).reshape(n.tensor.dims)) for n in network.nodes]
-    if sum(a.size for _, a in leaves) > LEAF_ELEMENTS:
-        raise ValueError("the network is too large for dense blocks")
     keys, labels, dims = list(keys), list(labels), list(dims)
+    row_elements = _row_elements(labels, dims, network)
+    if sum(n.tensor.size for n in network.nodes) > LEAF_ELEMENTS or row_elements > STEP_ELEMENTS:
+        raise ValueError("the network is too large for dense blocks")
+    together = max(1, STEP_ELEMENTS // max(1, row_elements))
+    leaves = [(list(n.tensor.labels), np.array(n.tensor.data(), np.complex128).reshape(n.tensor.dims)) for n in network.nodes]
 
     def run(batches):
         import pandas as pd
 
-        for pdf in batches:
+        for pdf in (pdf.iloc[at : at + together] for pdf in batches for at in range(0, len(pdf), together)):
             a, x = np.stack(pdf[values].to_numpy()).astype(np.complex128).reshape(len(pdf), *dims), ["\0row", *labels]
             for names, g in leaves:
                 a, x = pair(a, x, g, names)
@@ -92,6 +94,16 @@ def contract_rows(batch: DataFrame, values: str, labels: Sequence[str], dims: Se
     return batch.select(*keys, values).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", re array<double>, im array<double>")
 
 
+def _row_elements(labels: Sequence[str], dims: Sequence[int], network: Network) -> int:
+    """Elements of the largest intermediate when a row's tensor meets the nodes one by one, from metadata."""
+    size = dict(zip(labels, dims, strict=True)) | {x: d or 1 for x, d in network.dims().items()}
+    now, most = set(labels), 0
+    for part in [set(), *(set(n.tensor.labels) for n in network.nodes)]:
+        now = now ^ part
+        most = max(most, int(np.prod([size[x] for x in now], dtype=object)))
+    return most
+
+
 def apply_matrix(re, im, dims: Sequence[int], wires: Sequence[int], matrix: np.ndarray):
     """A gate on some axes of a dense row: new re and im arrays as columns, from array columns in row-major order.
 
@@ -126,12 +138,16 @@ def apply_matrix(re, im, dims: Sequence[int], wires: Sequence[int], matrix: np.n
     return place(0), place(1)
 
 
-def contract_blocked(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
+def contract_blocked(a: Tensor, b: Tensor, block: int = 256, spread: int = 32) -> Tensor:
     """Contraction of dense tensors in square blocks: a join of blocks on the summed index, numpy products, a sum.
 
     Where both operands are dense, the join of relations makes a row a multiplication; this makes one for
-    each value of a pair of blocks. A block holds block**2 values at most. Labels keep the order of
-    Tensor.contract; an unknown dimension may only be that of a single free label.
+    each value of a pair of blocks. A block holds block**2 values at most. If the right operand's size is
+    known and at most LEAF_ELEMENTS, it is broadcast and the left one's blocks stay where they are.
+    Otherwise blocks meet on the summed block and a share of the left one's row blocks (`spread` shares,
+    to each of which the right operand's blocks are copied), so that few summed blocks still are many
+    keys. Labels keep the order of Tensor.contract; an unknown dimension may only be that of a single
+    free label.
     """
     from pyspark.sql import functions as F
 
@@ -149,11 +165,17 @@ def contract_blocked(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
     def packed(t: Tensor, rows: Sequence[str], columns: Sequence[str], prefix: str):
         df = t.df.select(line(t, rows).alias("i"), line(t, columns).alias("j"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
         part = lambda c: F.call_function("div", F.col(c), F.lit(block)).alias(f"{prefix}{c}")
-        value = F.struct(F.pmod("i", F.lit(block)).cast("int").alias("i"), F.pmod("j", F.lit(block)).cast("int").alias("j"), "re", "im")
-        return df.groupBy(part("i"), part("j")).agg(F.collect_list(value).alias(f"{prefix}values"))
+        value = F.struct((F.pmod("i", F.lit(block)) * block + F.pmod("j", F.lit(block))).cast("int").alias("at"), "re", "im")
+        rows = df.groupBy(part("i"), part("j")).agg(F.collect_list(value).alias("v"))
+        return rows.select(f"{prefix}i", f"{prefix}j", *[F.col(f"v.{c}").alias(f"{prefix}_{c}") for c in ("at", "re", "im")])
 
     left, right = packed(a, free[0], shared, "a"), packed(b, shared, free[1], "b")
-    pairs = left.join(right, F.col("aj") == F.col("bi")).select("ai", "bj", "avalues", "bvalues")
+    if all(d is not None for d in b.dims) and b.size <= LEAF_ELEMENTS:
+        pairs = left.join(F.broadcast(right), F.col("aj") == F.col("bi"))
+    else:
+        right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        pairs = left.join(right, (F.col("aj") == F.col("bi")) & (F.pmod("ai", F.lit(spread)) == F.col("share")))
+    pairs = pairs.select("ai", "bj", *[f"{side}_{c}" for side in "ab" for c in ("at", "re", "im")])
 
     def run(batches):
         import pandas as pd
@@ -161,10 +183,9 @@ def contract_blocked(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 m = []
-                for values in (row.avalues, row.bvalues):
-                    x = np.zeros((block, block), np.complex128)
-                    np.add.at(x, ([v["i"] for v in values], [v["j"] for v in values]), [complex(v["re"], v["im"]) for v in values])
-                    m.append(x)
+                for at, re, im in ((row.a_at, row.a_re, row.a_im), (row.b_at, row.b_re, row.b_im)):
+                    flat = np.bincount(at, re, block * block) + 1j * np.bincount(at, im, block * block)
+                    m.append(flat.reshape(block, block))
                 out = m[0] @ m[1]
                 i, j = np.nonzero(out)
                 yield pd.DataFrame({"i": i + row.ai * block, "j": j + row.bj * block, "re": out[i, j].real, "im": out[i, j].imag})

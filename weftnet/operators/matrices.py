@@ -48,9 +48,10 @@ def minus(a: Tensor, b: Tensor) -> Tensor:
 def diagonal_exp(a: Tensor) -> Tensor:
     """exp of the diagonal, zeros elsewhere."""
     n = order(a)
-    d = a.densify().df.where("x0 = x1")
-    e = F.exp("re")
-    return Tensor(d.select("x0", "x1", (e * F.cos("im")).alias("re"), (e * F.sin("im")).alias("im")), a.labels, (n, n))
+    have = a.whole().df.where("x0 = x1").select("x0", "re", "im")
+    d = a.spark.range(n).select(F.col("id").alias("x0")).join(have, "x0", "left")
+    re, im = F.coalesce("re", F.lit(0.0)), F.coalesce("im", F.lit(0.0))
+    return Tensor(d.select("x0", F.col("x0").alias("x1"), (F.exp(re) * F.cos(im)).alias("re"), (F.exp(re) * F.sin(im)).alias("im")), a.labels, (n, n))
 
 
 def diagonal(spark: SparkSession, values: Sequence[complex], labels: Sequence[str] = ("i", "j")) -> Tensor:

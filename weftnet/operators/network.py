@@ -34,22 +34,28 @@ class Network:
     def __init__(self):
         self.nodes: list[Node] = []
         self.path: Path = []
+        self._on: dict[str, list[int]] = {}  # label: nodes that have it and aren't contracted
 
     # Building.
 
     def add(self, tensor: Tensor, tags: Sequence[str] = ()) -> int:
         """Adds a tensor; returns the node's id."""
         for label, d in zip(tensor.labels, tensor.dims, strict=True):
-            for n in self.nodes:
-                if label in n.tensor.labels and d is not None and n.tensor.dim(label) not in (d, None):
+            for n in (self.nodes[k] for k in self._on.get(label, [])):
+                if d is not None and n.tensor.dim(label) not in (d, None):
                     raise ValueError(f"the label {label!r} has {n.tensor.dim(label)} values on node {n.id} and {d} on the new one")
-        self.nodes.append(Node(len(self.nodes), node_name(tensor.labels), list(tensor.labels), list(tags), tensor))
-        return len(self.nodes) - 1
+        return self._append(Node(len(self.nodes), node_name(tensor.labels), list(tensor.labels), list(tags), tensor))
+
+    def _append(self, node: Node) -> int:
+        self.nodes.append(node)
+        for x in node.tensor.labels:
+            self._on.setdefault(x, []).append(node.id)
+        return node.id
 
     def copy(self) -> Network:
         out = Network()
         out.nodes = [Node(n.id, n.name, list(n.labels), list(n.tags), n.tensor, n.contracted) for n in self.nodes]
-        out.path = list(self.path)
+        out.path, out._on = list(self.path), {x: list(ids) for x, ids in self._on.items()}
         return out
 
     def slice(self, labels: Sequence[str], value: int) -> None:
@@ -63,6 +69,7 @@ class Network:
                     n.tensor = n.tensor.slice(label, v)
                     n.labels = [f"{label}({v})" if x == label else x for x in n.labels]
                     n.name = node_name(n.labels)
+            self._on.pop(label, None)
 
     def _dim(self, label: str) -> int:
         dims = self.dims()
@@ -92,12 +99,8 @@ class Network:
 
     def edges(self) -> dict[str, tuple[int | None, list[int]]]:
         """Label to number of values and node ids, of labels with two values or more on nodes not contracted yet."""
-        dims, out = self.dims(), {}
-        for n in self.nodes:
-            for x in n.tensor.labels:
-                if not n.contracted and (dims[x] is None or dims[x] >= 2):
-                    out.setdefault(x, (dims[x], []))[1].append(n.id)
-        return out
+        dims = self.dims()
+        return {x: (dims[x], list(ids)) for x, ids in self._on.items() if ids and (dims[x] is None or dims[x] >= 2)}
 
     def tags(self) -> dict[str, list[int]]:
         out: dict[str, list[int]] = {}
@@ -162,10 +165,12 @@ class Network:
         if a == b or x.contracted or y.contracted:
             raise ValueError(f"can't contract nodes {a} and {b}")
         x.contracted = y.contracted = True
+        for n in (x, y):
+            for label in n.tensor.labels:
+                self._on[label].remove(n.id)
         labels = exclusive(x.labels, y.labels)
-        self.nodes.append(Node(len(self.nodes), node_name(labels), labels, union(x.tags, y.tags), x.tensor.contract(y.tensor)))
         self.path.append((a, b))
-        return len(self.nodes) - 1
+        return self._append(Node(len(self.nodes), node_name(labels), labels, union(x.tags, y.tags), x.tensor.contract(y.tensor)))
 
     def contract_scalars(self) -> Tensor:
         """The product of all nodes that are scalars and not contracted yet."""

@@ -11,6 +11,7 @@ known (an index that comes from a key of a table); operators that need it raise.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet.functions.labels import difference, intersection, label_name
-from weftnet.functions.positions import ravel, ravel_column, unravel, unravel_columns
+from weftnet.functions.positions import checked, ravel, ravel_column, unravel, unravel_columns
 
-#: More values than this go to Spark through Arrow; fewer become a VALUES list, whose size Catalyst knows.
+#: More values than this go to Spark as rows of a local relation; fewer become a VALUES list, whose size Catalyst knows.
 INLINE_VALUES = 2048
 PRECISIONS = {"double": "double", "float": "float", "complex128": "double", "complex64": "float"}
 
@@ -36,6 +37,7 @@ class Tensor:
     df: DataFrame
     labels: tuple[str, ...]
     dims: tuple[int | None, ...]
+    summed: bool = True  # whether a coordinate has one row at most
 
     # Construction.
 
@@ -79,22 +81,26 @@ class Tensor:
         return Tensor.from_entries(spark, [], [], [((), value)])
 
     @staticmethod
-    def from_relation(df: DataFrame, labels: dict[str, Column], re: Column, im: Column | None = None, dims: dict[str, int] | None = None, summed: bool = True) -> Tensor:
+    def from_relation(df: DataFrame, labels: dict[str, Column], re: Column, im: Column | None = None, dims: dict[str, int] | None = None, summed: bool = True, unique: bool = False, check: bool = False) -> Tensor:
         """From rows of a table: index columns by label, values summed where coordinates repeat.
 
-        `summed=False` leaves rows as they are: right where the labels hold a key, and for an operand of
-        a contraction, which adds up repeated coordinates anyway.
+        `unique` says that the labels hold a key, so that there is nothing to sum. `summed=False` puts the
+        sum off until an operator needs it; a contraction sums anyway. `check` makes the query fail on a
+        coordinate outside its dimension.
         """
         im = F.lit(0).cast("long") if im is None else im
-        names = _names(len(labels))
-        rows = df.select(*[c.cast("long").alias(n) for n, c in zip(names, labels.values(), strict=True)], re.alias("re"), im.alias("im"))
-        return Tensor(_summed(rows, names) if summed else rows, tuple(labels), tuple((dims or {}).get(label) for label in labels))
+        names, dims = _names(len(labels)), dims or {}
+        at = [checked(c.cast("long"), dims[x]) if check and dims.get(x) is not None else c.cast("long") for x, c in labels.items()]
+        rows = df.select(*[c.alias(n) for n, c in zip(names, at, strict=True)], re.alias("re"), im.alias("im"))
+        whole = summed and not unique
+        return Tensor(_summed(rows, names) if whole else rows, tuple(labels), tuple(dims.get(label) for label in labels), whole or unique)
 
     @staticmethod
     def random(spark: SparkSession, labels: Sequence[str], dims: Sequence[int], seed: int | None = None) -> Tensor:
-        """Parts uniform on [-1, 1); equal seeds and partitions give equal tensors."""
+        """Parts uniform on [-1, 1) from hashes of position and seed: equal seeds give equal tensors, however rows are dealt."""
         rows = spark.range(prod(dims))
-        draw = (lambda k: F.rand(seed * 2 + k)) if seed is not None else (lambda k: F.rand())
+        seed = secrets.randbits(62) if seed is None else seed
+        draw = lambda k: F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.lit(k), "id"), F.lit(1 << 53)) / float(1 << 53)
         return Tensor(rows.select(*_at(F.col("id"), dims), (draw(0) * 2 - 1).alias("re"), (draw(1) * 2 - 1).alias("im")), tuple(labels), tuple(dims))
 
     # Metadata.
@@ -135,6 +141,10 @@ class Tensor:
             raise ValueError(f"a dimension of {list(self.labels)} isn't known")
         return self.dims  # type: ignore[return-value]
 
+    def whole(self) -> Tensor:
+        """This tensor with a row a coordinate at most."""
+        return self if self.summed else Tensor(_summed(self.df, self.names), self.labels, self.dims)
+
     # Operators.
 
     def contract(self, other: Tensor, keep: Sequence[str] = ()) -> Tensor:
@@ -165,7 +175,7 @@ class Tensor:
         )
         summed = [label for label in shared if label not in keep]
         dims = [self.dim(x) if self.dim(x) is not None or x not in other.labels else other.dim(x) for x in left] + [other.dim(x) for x in right]
-        return Tensor(_summed(rows, names) if summed else rows, (*left, *right), tuple(dims))
+        return Tensor(_summed(rows, names) if summed else rows, (*left, *right), tuple(dims), bool(summed) or (self.summed and other.summed))
 
     def sum_out(self, labels: Sequence[str]) -> Tensor:
         """Adds the slices along labels."""
@@ -184,7 +194,7 @@ class Tensor:
             raise ValueError(f"{value} is outside the {d} values of {label!r}")
         stay = difference(self.labels, [label])
         rows = self.df.where(self.column(label) == value).select(*[self.column(x).alias(n) for n, x in zip(_names(len(stay)), stay, strict=True)], "re", "im")
-        return Tensor(rows, tuple(stay), tuple(self.dim(x) for x in stay))
+        return Tensor(rows, tuple(stay), tuple(self.dim(x) for x in stay), self.summed)
 
     def transpose(self, order: Sequence[str] | Sequence[int]) -> Tensor:
         """Another order of labels, given by name or by position; no data moves."""
@@ -196,7 +206,7 @@ class Tensor:
         if sorted(order) != sorted(self.labels):  # type: ignore[type-var]
             raise ValueError(f"{order} is not an order of {list(self.labels)}")
         rows = self.df.select(*[self.column(x).alias(n) for n, x in zip(self.names, order, strict=True)], "re", "im")  # type: ignore[arg-type]
-        return Tensor(rows, tuple(order), tuple(self.dim(x) for x in order))  # type: ignore[arg-type]
+        return Tensor(rows, tuple(order), tuple(self.dim(x) for x in order), self.summed)  # type: ignore[arg-type]
 
     def reshape(self, dims: Sequence[int], batch: Sequence[str] = ()) -> Tensor:
         """The same row-major data in another shape, with generated labels ?a, ?b, ...
@@ -210,30 +220,30 @@ class Tensor:
         at = ravel_column([self.column(x) for x in rest], old)  # type: ignore[arg-type]
         columns = [*[self.column(x) for x in batch], *unravel_columns(at, dims)]
         rows = self.df.select(*[c.alias(n) for n, c in zip(_names(len(columns)), columns, strict=True)], "re", "im")
-        return Tensor(rows, (*batch, *("?" + label_name(k) for k in range(len(dims)))), (*(self.dim(x) for x in batch), *dims))
+        return Tensor(rows, (*batch, *("?" + label_name(k) for k in range(len(dims)))), (*(self.dim(x) for x in batch), *dims), self.summed)
 
     def position(self) -> Column:
         """Row-major position of a row."""
         return ravel_column([F.col(n) for n in self.names], self._known_dims())
 
     def conj(self) -> Tensor:
-        return Tensor(self.df.withColumn("im", -F.col("im")), self.labels, self.dims)
+        return Tensor(self.df.withColumn("im", -F.col("im")), self.labels, self.dims, self.summed)
 
     def scale(self, value: complex) -> Tensor:
         value = complex(value)
         re, im = F.lit(value.real), F.lit(value.imag)
         rows = self.df.select(*self.names, (F.col("re") * re - F.col("im") * im).alias("re"), (F.col("re") * im + F.col("im") * re).alias("im"))
-        return Tensor(rows, self.labels, self.dims)
+        return Tensor(rows, self.labels, self.dims, self.summed)
 
     def rename(self, which: str | int, label: str) -> Tensor:
         """Another label at a place; a label that is there already is refused."""
         k = which if isinstance(which, int) else self._place(which)
         if not 0 <= k < self.rank:
             raise ValueError(f"no label at place {k}")
-        return Tensor(self.df, tuple(label if j == k else x for j, x in enumerate(self.labels)), self.dims)
+        return Tensor(self.df, tuple(label if j == k else x for j, x in enumerate(self.labels)), self.dims, self.summed)
 
     def relabel(self, labels: Sequence[str]) -> Tensor:
-        return Tensor(self.df, tuple(labels), self.dims)
+        return Tensor(self.df, tuple(labels), self.dims, self.summed)
 
     def set_value(self, index: Sequence[int], value: complex) -> Tensor:
         """A tensor with another value at one place."""
@@ -241,21 +251,22 @@ class Tensor:
         rest = self.df.where(~self._here(index))
         kinds = dict(self.df.dtypes)
         one = self.spark.range(1).select(*[F.lit(int(i)).cast("long").alias(n) for n, i in zip(self.names, index, strict=True)], F.lit(complex(value).real).cast(kinds["re"]).alias("re"), F.lit(complex(value).imag).cast(kinds["im"]).alias("im"))
-        return Tensor(rest.unionByName(one), self.labels, self.dims)
+        return Tensor(rest.unionByName(one), self.labels, self.dims, self.summed)
 
     def densify(self) -> Tensor:
         """All coordinates, zeros included."""
         dims = self._known_dims()
         every = self.spark.range(prod(dims)).select(*_at(F.col("id"), dims))
         kinds = dict(self.df.dtypes)
-        rows = every.join(self.df, self.names, "left") if self.rank else every.crossJoin(self.df)
+        df = self.whole().df
+        rows = every.join(df, self.names, "left") if self.rank else every.crossJoin(df)
         return Tensor(rows.select(*self.names, *[F.coalesce(c, F.lit(0).cast(kinds[c])).alias(c) for c in ("re", "im")]), self.labels, self.dims)
 
     def differences(self, other: Tensor, tolerance: float = 0.0) -> DataFrame:
         """One row: the number of places whose values differ by more than the tolerance."""
-        other = other.transpose(self.labels)
+        mine, other = self.whole().df, other.transpose(self.labels).whole()
         b = other.df.select(*self.names, F.col("re").alias("bre"), F.col("im").alias("bim"))
-        rows = self.df.join(b, self.names, "full") if self.rank else self.df.crossJoin(b)
+        rows = mine.join(b, self.names, "full") if self.rank else mine.crossJoin(b)
         gap = lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))) > tolerance
         return rows.agg(F.count_if(gap(F.col("re"), F.col("bre")) | gap(F.col("im"), F.col("bim"))).alias("differences"))
 
@@ -290,7 +301,7 @@ class Tensor:
     def shown(self, columns: Sequence[str] | None = None) -> DataFrame:
         """Rows with a column per label (or other names for them)."""
         columns = list(columns or self.labels)
-        return self.df.select(*[F.col(n).alias(c) for n, c in zip(self.names, columns, strict=True)], "re", "im")
+        return self.whole().df.select(*[F.col(n).alias(c) for n, c in zip(self.names, columns, strict=True)], "re", "im")
 
     def describe(self) -> str:
         """Size, labels and data as text."""
@@ -298,6 +309,12 @@ class Tensor:
         return f"Size={self.size}\nIndices={{{' '.join(self.labels)}}}\nData={{{values}}}"
 
 
+def as_precision(t: Tensor, precision: str) -> Tensor:
+    """The tensor with values of a precision."""
+    kind = value_type(precision)
+    return Tensor(t.df.select(*t.names, F.col("re").cast(kind).alias("re"), F.col("im").cast(kind).alias("im")), t.labels, t.dims, t.summed)
+
+
 def value_type(precision: str) -> str:
     if precision not in PRECISIONS:
         raise TypeError(f"values of type {precision!r} are not supported")

@@ -7,23 +7,44 @@ more than once can be persisted and is released after the action.
 
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
 from collections.abc import Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from weftnet.operators.network import Network
 from weftnet.operators.tensor import Tensor, add_all
 from weftnet.plans.path import Path, PathPlan
 
-#: Steps after which a long chain is cut by a checkpoint (plans grow with every step).
-CUT_STEPS = 12
+#: Rows that the default action of `submit` brings to the driver at most.
+MOST_ROWS = 1 << 20
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the cluster's checkpoint folder; only a local session may use a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftnet-"))
+    return df.checkpoint()
+
+
+def rows_of(df: DataFrame) -> list:
+    """The rows of a small result; more than MOST_ROWS are refused."""
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows; give another action")
+    return rows
 
 
 class TaskGraph:
+    """`cut_steps`: a chain of so many steps is cut by a checkpoint, as plans grow with every step."""
+
     def __init__(self, cut_steps: int | None = None):
         self.tensors: dict[tuple, Tensor] = {}
         self.uses: Counter = Counter()
@@ -62,13 +83,25 @@ class TaskGraph:
             made = self.tensors[keys[a]].contract(self.tensors[keys[b]])
             depth = 1 + max(self._depth.get(keys[a], 0), self._depth.get(keys[b], 0))
             if self.cut_steps and depth >= self.cut_steps:
-                made, depth = Tensor(made.df.checkpoint(), made.labels, made.dims), 0
+                made, depth = Tensor(checkpointed(made.df), made.labels, made.dims, made.summed), 0
             self.tensors[key], self._depth[key] = made, depth
             self.flops += plan.step_flops(step.id)
             self.memory += plan.step_memory(step.id)
         self.results.append(self.tensors[keys[-1]])
         return shared
 
+    def include(self, other: TaskGraph) -> None:
+        """Takes over another graph's tasks and results; what both have is shared. flops and memory stay this graph's own."""
+        shared = self.tensors.keys() & other.tensors.keys()
+        for key, t in other.tensors.items():
+            self.tensors.setdefault(key, t)
+            if key not in shared:
+                self._depth[key] = other._depth.get(key, 0)
+        for key, n in other.uses.items():
+            self.uses[key] = max(self.uses[key], n)
+        self.edges += [e for e in other.edges if e not in self.edges]
+        self.results += other.results
+
     def reduce(self) -> Tensor:
         """The sum of all results, whenever it is asked for."""
         if not self.results:
@@ -92,7 +125,7 @@ class TaskGraph:
     def contract(self) -> list[DataFrame]:
         return [t.df for t in self.results]
 
-    def submit(self, action=lambda df: df.collect()) -> list[Future]:
+    def submit(self, action=rows_of) -> list[Future]:
         """Starts an action on every result at once; independent jobs run side by side."""
         pool = ThreadPoolExecutor(max_workers=max(1, min(8, len(self.results))))
         out = [pool.submit(action, df) for df in self.contract()]
@@ -131,7 +164,3 @@ def contract_each_slice(network: Network, labels: Sequence[str], values: Sequenc
         graph.add(part, part.plan(path))
     return graph
 
-
-def slice_totals(tensor: Tensor, labels: Sequence[str]) -> DataFrame:
-    """Sum of the values of each slice."""
-    return tensor.df.groupBy(*[tensor.column(x).alias(x) for x in labels]).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))

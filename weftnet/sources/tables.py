@@ -33,16 +33,16 @@ def orders(spark: SparkSession, sf_dir: str, *labels: str) -> Tensor:
     """Rows by order o, customer bucket c, customer k and priority pr."""
     of = {"o": F.col("o_orderkey"), "c": F.col("o_custkey") % 8, "k": F.col("o_custkey"), "pr": priority()}
     labels = labels or ("o", "c", "pr")
-    return Tensor.from_relation(read(spark, sf_dir, "orders"), {x: of[x] for x in labels}, F.lit(1).cast("bigint"), dims={"c": 8, "pr": PRIORITY_CODES}, summed="o" not in labels)
+    return Tensor.from_relation(read(spark, sf_dir, "orders"), {x: of[x] for x in labels}, F.lit(1).cast("bigint"), dims={"c": 8, "pr": PRIORITY_CODES}, unique="o" in labels)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Tensor:
-    return Tensor.from_relation(read(spark, sf_dir, "customer"), {"k": F.col("c_custkey"), "n": F.col("c_nationkey")}, F.lit(1).cast("bigint"), dims={"n": 25}, summed=False)
+    return Tensor.from_relation(read(spark, sf_dir, "customer"), {"k": F.col("c_custkey"), "n": F.col("c_nationkey")}, F.lit(1).cast("bigint"), dims={"n": 25}, unique=True)
 
 
 def nations(spark: SparkSession, sf_dir: str) -> Tensor:
     """Incidence of nations n and regions r."""
-    return Tensor.from_relation(read(spark, sf_dir, "nation"), {"n": F.col("n_nationkey"), "r": F.col("n_regionkey")}, F.lit(1).cast("bigint"), dims={"n": 25, "r": 5}, summed=False)
+    return Tensor.from_relation(read(spark, sf_dir, "nation"), {"n": F.col("n_nationkey"), "r": F.col("n_regionkey")}, F.lit(1).cast("bigint"), dims={"n": 25, "r": 5}, unique=True, check=True)
 
 
 def event_code() -> Column:
