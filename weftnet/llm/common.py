@@ -138,6 +138,30 @@ def map_batches(df: DataFrame, fn, schema, limit: int = 16 << 20) -> DataFrame:
     return map_arrow(df, run, schema)
 
 
+def map_gathered(df: DataFrame, fn, schema, limit: int) -> DataFrame:
+    """As map_batches, but consecutive small batches of a task are put together up to `limit` bytes."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in split_batch(batch, limit):
+                if held and size + part.nbytes > limit:
+                    out = fn(joined(held))
+                    held, size = [], 0
+                    if out is not None:
+                        yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+                held.append(part)
+                size += part.nbytes
+        out = fn(joined(held)) if held else None
+        if out is not None:
+            yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+
+    return map_arrow(df, run, schema)
+
+
 def split_batch(batch: pa.RecordBatch, limit: int):
     """Slices of a batch of about `limit` bytes each, whole rows."""
     if batch.num_rows == 0:

@@ -52,7 +52,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lm.train(docs, id_crc() % 7 != 2)
+    model = lm.train(docs, id_crc() % 7 != 2, order=3)
     scored = lm.score(docs, model)
     return scored.select("doc_id", (id_crc() % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), *[F.round(c, 6).alias(c) for c in ("base_score", "score")])
 
@@ -143,23 +143,31 @@ def _discount(k: str, d: str) -> str:
     return f"CASE WHEN {k} IS NULL THEN 0 WHEN {k} = 1 THEN {d}.d1 WHEN {k} = 2 THEN {d}.d2 ELSE {d}.d3 END"
 
 
+def _follow(of: str, context: str) -> str:
+    """Sums by context of a table of counts k: their sum and how many are 1, 2, more."""
+    return f"(SELECT {context}, sum(k)::DOUBLE AS k, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k > 2) AS n3 FROM {of} GROUP BY ALL)"
+
+
 OP8_SQL = f"""
 WITH t AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, chr(10)) AS w FROM documents),
-f AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_concat([chr(32)], w[:-2])) AS h FROM t),
+f AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_concat([chr(32)], w[:-2])) AS h, unnest(list_concat([chr(32), chr(32)], w[:-3])[:len(w)]) AS g FROM t),
 c AS (SELECT w, count(*) AS k FROM f WHERE NOT held_out GROUP BY w),
 z AS (SELECT sum(k)::BIGINT AS n, count(*)::BIGINT AS v FROM c),
-p AS (SELECT h, w, count(*) AS k FROM f WHERE NOT held_out GROUP BY h, w),
-x AS (SELECT h, sum(k)::DOUBLE AS k, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k > 2) AS n3 FROM p GROUP BY h),
-o AS (SELECT w, count(*) AS k FROM p GROUP BY w),
-d1 AS {_discounts("o")}, d2 AS {_discounts("p")},
-s AS (SELECT sum({_discount("o.k", "d1")}) AS spare, sum(o.k)::DOUBLE AS pairs FROM o, d1),
-l AS (SELECT f.*, c.k AS known, p.k AS pair, x.k AS context, d2.d1 * x.n1 + d2.d2 * x.n2 + d2.d3 * x.n3 AS gap, {_discount("p.k", "d2")} AS cut,
-             (coalesce(o.k, 0) - {_discount("o.k", "d1")} + s.spare / (z.v + 1)) / s.pairs AS low, z.n, z.v
-      FROM f CROSS JOIN z CROSS JOIN s CROSS JOIN d1 CROSS JOIN d2 LEFT JOIN c ON c.w = f.w LEFT JOIN o ON o.w = f.w LEFT JOIN p ON p.h = f.h AND p.w = f.w LEFT JOIN x ON x.h = f.h)
+p3 AS (SELECT g, h, w, count(*) AS k FROM f WHERE NOT held_out GROUP BY g, h, w),
+p2 AS (SELECT h, w, count(*) AS k FROM p3 GROUP BY h, w),
+p1 AS (SELECT w, count(*) AS k FROM p2 GROUP BY w),
+x3 AS {_follow("p3", "g, h")}, x2 AS {_follow("p2", "h")},
+d1 AS {_discounts("p1")}, d2 AS {_discounts("p2")}, d3 AS {_discounts("p3")},
+s AS (SELECT sum({_discount("p1.k", "d1")}) AS spare, sum(p1.k)::DOUBLE AS types FROM p1, d1),
+l1 AS (SELECT f.*, c.k AS known, z.n, z.v, (coalesce(p1.k, 0) - {_discount("p1.k", "d1")} + s.spare / (z.v + 1)) / s.types AS one
+       FROM f CROSS JOIN z CROSS JOIN s CROSS JOIN d1 LEFT JOIN c ON c.w = f.w LEFT JOIN p1 ON p1.w = f.w),
+l2 AS (SELECT l1.*, CASE WHEN x2.k IS NULL THEN one ELSE (coalesce(p2.k, 0) - {_discount("p2.k", "d2")} + (d2.d1 * x2.n1 + d2.d2 * x2.n2 + d2.d3 * x2.n3) * one) / x2.k END AS two
+       FROM l1 CROSS JOIN d2 LEFT JOIN p2 ON p2.h = l1.h AND p2.w = l1.w LEFT JOIN x2 ON x2.h = l1.h),
+l3 AS (SELECT l2.*, CASE WHEN x3.k IS NULL THEN two ELSE (coalesce(p3.k, 0) - {_discount("p3.k", "d3")} + (d3.d1 * x3.n1 + d3.d2 * x3.n2 + d3.d3 * x3.n3) * two) / x3.k END AS three
+       FROM l2 CROSS JOIN d3 LEFT JOIN p3 ON p3.g = l2.g AND p3.h = l2.h AND p3.w = l2.w LEFT JOIN x3 ON x3.g = l2.g AND x3.h = l2.h)
 SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(known)::BIGINT AS n_known, max(n)::BIGINT AS train_tokens,
-       round(sum(log10((coalesce(known, 0) + 1) / (n + v + 1)::DOUBLE)), 6) AS base_score,
-       round(sum(log10(CASE WHEN context IS NULL THEN low ELSE (coalesce(pair, 0) - cut + gap * low) / context END)), 6) AS score
-FROM l GROUP BY doc_id, held_out
+       round(sum(log10((coalesce(known, 0) + 1) / (n + v + 1)::DOUBLE)), 6) AS base_score, round(sum(log10(three)), 6) AS score
+FROM l3 GROUP BY doc_id, held_out
 """
 
 OP10_SQL = rf"""
