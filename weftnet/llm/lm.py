@@ -183,7 +183,7 @@ def coded_sums(sums: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
 
     1 to 127 stand for so many different followers, once each; 128 to 254 for the most frequent other rows.
     """
-    simple = (sums[:, 0] == sums[:, 1]) & (sums[:, 0] < 128)
+    simple = (sums[:, 0] == sums[:, 1]) & (sums[:, 0] < 128) & ~sums[:, 2:].any(1)
     code = np.where(simple, sums[:, 0], 255).astype(np.uint8)
     other = np.flatnonzero(~simple)
     key = np.zeros(len(other), np.uint64)
