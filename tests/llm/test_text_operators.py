@@ -74,6 +74,50 @@ def test_near_duplicates(spark, width, num):
     assert len(set(want.values())) < len(want)
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 4, "block_shingles": 300}, {"bucket_bytes": 60}])
+def test_near_duplicates_chains(spark, how):
+    """Chains whose ends aren't similar, next to texts that share only a part: blocks, parts of hot buckets and all three steps."""
+    r = random.Random(7)
+    rows, text = [], prose(r, 120, 5000).split()
+    for k in range(40):  # each differs from the one before in a word
+        text = list(text)
+        text[(7 * k) % 120] = f"w{k}"
+        rows.append((500 - 3 * k, " ".join(text), None, None, 0))
+    half = prose(r, 60, 5000)
+    rows += [(1000 + k, half + " " + prose(random.Random(k), 60, 5000), None, None, 0) for k in range(25)]
+    rows += [(2000 + k, rows[k % 5][1], None, None, 0) for k in range(20)]
+    want, _ = brute_components(rows, 5, 80, 100)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(frame(spark, rows), **how).collect()}
+    assert got == want and len(set(want.values())) > 20 and sum(1 for c in want.values() if c == min(want)) >= 40
+
+
+def test_split_buckets_lose_no_pair(spark):
+    """Whether a bucket is split or not, the same documents share a group."""
+    half = prose(random.Random(3), 100, 5000)
+    rows = [(k, f"{half} w{k} " + prose(random.Random(k), 4, 5000), None, None, 0) for k in range(60)]
+    docs = frame(spark, rows).repartition(5).select("doc_id", "text")
+    every = jaccard.describe(docs, 5, jaccard.Bands(80, 100), 64).filter("bucket IS NOT NULL").select("bucket", "keys", "docs")
+
+    def shared(hot_bytes):
+        of = defaultdict(set)
+        for x in jaccard.groups_of(every, hot_bytes).collect():
+            of[x["grp"]].add(x["doc"])
+            assert x["pivot"] <= x["doc"]
+        return {(a, b) for g in of.values() for a in g for b in g if a < b}
+
+    whole = shared(1 << 40)
+    assert len(whole) > 500 and shared(16) == whole and shared(200) == whole
+
+
+def test_cluster_ships_texts_a_few_times(spark):
+    """Rows of block pairs in a group of 20,000 with one component: those outside it meet all, the others only them."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).alias("grp"), F.col("id").alias("doc_id"), F.lit(10).alias("n_shingles"), F.when(F.col("id") < 50, F.col("id")).otherwise(F.lit(99)).alias("comp"))
+    got = jaccard.in_block_pairs(rows, "grp", 1024, 1 << 40, 8)
+    assert n <= got.count() <= n + 50 * 30
+    assert jaccard.in_block_pairs(rows.filter("comp = 99"), "grp", 1024, 1 << 40, 8).count() == 0
+
+
 def test_near_duplicates_odd_rows(spark):
     got = jaccard.near_duplicates(frame(spark), width=3, num=90, den=100).collect()
     assert len(got) == len(odd_rows())

@@ -10,11 +10,18 @@ the pigeonhole principle two similar sets agree in a whole segment. With z more
 z + 1, and the fullest of these is never among the z emptiest of either set, so each set leaves its z
 emptiest segments out: segments with few shingles are what unlike sets share. Segments are hashed to keys.
 
-Keys travel packed, as blocks of sorted numbers per bucket. Sets with a key in common are compared by
-the Hamming distance of short sketches, which drops only pairs that can't be similar; what is left in
-connected clusters is compared exactly. Both comparisons work in pairs of blocks and skip pairs that
-are connected already, so every pair of similar sets is connected through verified links, and no list of
-all pairs is ever made. Equal sets are one set.
+A text is hashed once: its set's size, digest and short sketch are written with its keys, packed as
+blocks of sorted numbers per bucket. Equal sets are one set. Then
+
+1. the sets of a key are compared with the smallest id among them, by the Hamming distance of their
+   short sketches, which drops only pairs that can't be similar, and what is left exactly;
+2. where sets of a key still are in different components, sketches are compared in pairs of blocks;
+   pairs that are connected, or that the largest component has within itself, are left out;
+3. components that sketches join are compared exactly, in pairs of blocks as before.
+
+So every pair of similar sets is connected through verified links, no list of all pairs is made, and a
+text goes to as many tasks as it has partners left in step 1 (its component's first text, as a rule). A
+bucket of very many bytes is split: each part hands on one document a key, and these meet once more.
 
 Defined cases: a text without words has an empty set and no link; one with fewer words than a shingle
 has its whole sequence as the one shingle; a null id takes no part and has a null component; a
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import documents, input_bytes, map_batches, maybe_among, mix64, ship, staged, text_bytes, word_hashes
+from weftnet.llm.common import documents, input_bytes, map_gathered, maybe_among, mix64, ship, staged, text_bytes, word_hashes
 from weftnet.llm.components import components
 
 #: Bits of a sketch segment (few are set: a segment is kept as the hash of their places); words of the short
@@ -117,20 +124,6 @@ def short_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").view(np.uint64)
 
 
-def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (s1, s2) and the short sketch of each row's set."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(*text_bytes(batch.column(1)), width)
-        digests = [set_digest(s) for s in sets]
-        return {
-            "doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([d[0] for d in digests], pa.int64()),
-            "s2": pa.array([d[1] for d in digests], pa.int64()), "sketch": pa.array([short_sketch(s).tobytes() for s in sets], pa.binary()),
-        }
-
-    return map_batches(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary", TEXT_BYTES)
-
-
 def planes(x: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, which compress well where high bytes repeat."""
     return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -140,50 +133,95 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
 
 
-def candidates(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFrame:
-    """Groups of documents with a common key: grp (a hash of the members), size and doc, a row a member."""
-    shift = np.uint64(64 - 8 - 8)
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, bucket long, keys binary, docs binary"
+
+
+def describe(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFrame:
+    """Two kinds of rows: a row's set (size, 128-bit digest, short sketch), and packed keys of a bucket with their documents."""
 
-    def emit(batch: pa.RecordBatch) -> dict:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sets = batch.column(0).to_pylist(), shingle_sets(*text_bytes(batch.column(1)), width)
+        digests = [set_digest(s) for s in sets]
         first: dict = {}
-        for doc, s in sorted(zip(ids.tolist(), shingle_sets(*text_bytes(batch.column(1)), width), strict=True), key=lambda x: x[0]):
-            if len(s):
-                first.setdefault((len(s), *set_digest(s)), (doc, s))  # of equal sets in a batch the smallest id goes on
-        if not first:
-            return None
+        for doc, s, d in sorted(((i, s, d) for i, s, d in zip(ids, sets, digests, strict=True) if i is not None and len(s)), key=lambda x: x[0]):
+            first.setdefault((len(s), *d), (doc, s))  # of equal sets in a batch the smallest id goes on
         keys = [bands.keys(s) for _, s in first.values()]
         owner = np.repeat(np.array([doc for doc, _ in first.values()], np.int64), [len(k) for k in keys])
-        keys = np.concatenate(keys)
-        bucket = ((keys >> shift) % np.uint64(buckets)).astype(np.int64)
+        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+        bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((keys, bucket))
         keys, owner, bucket = keys[order], owner[order], bucket[order]
         cut = np.flatnonzero(np.diff(bucket)) + 1
-        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
-        return {"bucket": pa.array(bucket[begin], pa.int32()), "keys": pa.array([keys[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()), "docs": pa.array([planes(owner[i:j]) for i, j in zip(begin, end, strict=True)], pa.binary())}
+        bounds = [(i, j) for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True) if j > i]
+        none, empty = [None] * len(bounds), [None] * len(sets)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(ids + none, pa.int64()), "n_shingles": pa.array([len(s) for s in sets] + none, pa.int64()), "s1": pa.array([d[0] for d in digests] + none, pa.int64()), "s2": pa.array([d[1] for d in digests] + none, pa.int64()),
+            "sketch": pa.array([short_sketch(s).view(np.int64).tolist() for s in sets] + none, pa.list_(pa.int64())), "bucket": pa.array(empty + [int(bucket[i]) for i, _ in bounds], pa.int64()),
+            "keys": pa.array(empty + [keys[i:j].tobytes() for i, j in bounds], pa.binary()), "docs": pa.array(empty + [planes(owner[i:j]) for i, j in bounds], pa.binary()),
+        })
 
-    def meet(pdf):
-        import pandas as pd
+    return map_gathered(docs, run, SETS, 2 * TEXT_BYTES)
+
+
+def grouped(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their documents in order, and where each key begins."""
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    return keys, owner, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+GROUPS = "grp long, doc long, pivot long"
+
+
+def as_groups(grp: np.ndarray, doc: np.ndarray, pivot: np.ndarray):
+    import pandas as pd
+
+    return pd.DataFrame({"grp": grp.view(np.int64), "doc": doc, "pivot": pivot})
+
+
+def groups_of(packed: DataFrame, hot_bytes: int) -> DataFrame:
+    """Documents with a common key: grp, doc and pivot (the smallest of them), a row a member; equal groups of a bucket are one."""
+
+    def unpacked(pdf):
+        return grouped(np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["keys"]]), np.concatenate([unplanes(b) for b in pdf["docs"]]))
 
-        keys = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["keys"]])
-        owner = np.concatenate([unplanes(b) for b in pdf["docs"]])
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], owner[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(first, len(keys)))
+    def meet(pdf):
+        _, owner, first = unpacked(pdf)
+        size = np.diff(np.append(first, len(owner)))
         member = np.repeat(size > 1, size)
         first, size = first[size > 1], size[size > 1]
         if not len(first):
-            return pd.DataFrame({"grp": [], "size": [], "doc": []}, dtype="int64")
+            return as_groups(*[np.zeros(0, np.int64)] * 3)
         owner, begin = owner[member], np.cumsum(size) - size
         one = owner.view(np.uint64)
         name = mix64(np.add.reduceat(mix64(one), begin) + mix64(np.bitwise_xor.reduceat(mix64(one + np.uint64(9)), begin)))
-        _, kept = np.unique(name, return_index=True)  # groups with the same members are one
-        at = np.repeat(begin[kept] - (np.cumsum(size[kept]) - size[kept]), size[kept]) + np.arange(size[kept].sum())
-        return pd.DataFrame({"grp": np.repeat(name[kept], size[kept]).view(np.int64), "size": np.repeat(size[kept], size[kept]), "doc": owner[at]})
+        _, kept = np.unique(name, return_index=True)
+        n = size[kept]
+        at = np.repeat(begin[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return as_groups(np.repeat(name[kept], n), owner[at], np.repeat(owner[begin[kept]], n))
+
+    def part(pdf):
+        """A part of a large bucket: the members of its keys, and marked as `grp` null the first one of each key."""
+        import pandas as pd
 
-    packed = map_batches(docs, emit, "bucket int, keys binary, docs binary", 2 * TEXT_BYTES)
-    return packed.groupBy("bucket").applyInPandas(meet, "grp long, size long, doc long")
+        keys, owner, first = unpacked(pdf)
+        size = np.diff(np.append(first, len(owner)))
+        grp, pivot = np.repeat(keys[first], size), np.repeat(owner[first], size)
+        some = np.repeat(size > 1, size)
+        out = as_groups(grp[some], owner[some], pivot[some]).assign(key=None)
+        firsts = pd.DataFrame({"grp": None, "doc": owner[first], "pivot": owner[first], "key": keys[first].view(np.int64)})
+        return pd.concat([out, firsts]).astype({"grp": "Int64", "key": "Int64"})
+
+    sizes = packed.groupBy("bucket").agg(F.sum(F.length("keys")).alias("bytes"))
+    hot = staged(sizes.filter(F.col("bytes") > hot_bytes).select("bucket", F.ceil(F.col("bytes") / hot_bytes).alias("parts")), "hot_buckets")
+    if hot.isEmpty():
+        return packed.groupBy("bucket").applyInPandas(meet, GROUPS)
+    cool = packed.join(hot, "bucket", "left_anti").groupBy("bucket").applyInPandas(meet, GROUPS)
+    split = packed.join(hot, "bucket").withColumn("part", F.pmod(F.xxhash64("docs", "keys"), "parts"))
+    split = staged(split.groupBy("bucket", "part").applyInPandas(part, f"{GROUPS}, key long"), "hot_parts")
+    firsts = split.filter("key IS NOT NULL").select("key", "doc").distinct()
+    several = firsts.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    return cool.unionByName(split.filter("key IS NULL").drop("key")).unionByName(firsts.join(several, "key").select(F.col("key").alias("grp"), "doc", "pivot"))
 
 
 def is_similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -195,12 +233,14 @@ def is_similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def link(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, num: int, den: int, similar) -> list[tuple[int, int]]:
+def link(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, known: np.ndarray, num: int, den: int, similar) -> list[tuple[int, int]]:
     """Links that connect what is similar within a block (all on side 0) or between two (sides 0 and 1).
 
-    Sizes and sketches drop only pairs that can't be similar; `similar(i, j)` decides on the others.
+    Sizes and sketches drop only pairs that can't be similar; `similar(i, j)` decides on the others. Rows
+    that agree in `known` are connected from the beginning.
     """
-    root = np.arange(len(ids))
+    _, first, back = np.unique(known, return_index=True, return_inverse=True)
+    root = first[back]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -224,12 +264,10 @@ def link(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, n
     return links
 
 
-def compare(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Verified links among texts."""
-    order = np.argsort(ids, kind="stable")
-    ids, side, data = ids[order], side[order], [texts[i].encode() for i in order]
-    sets, at = [], 0
-    while at < len(data):  # a few texts at a time: hashing needs many times their size
+def sets_of(texts: list[str], width: int) -> list[np.ndarray]:
+    """Shingle hashes of texts, a few at a time: hashing needs many times their size."""
+    data, sets, at = [t.encode() for t in texts], [], 0
+    while at < len(data):
         end, size = at + 1, len(data[at])
         while end < len(data) and size + len(data[end]) <= TEXT_BYTES:
             size += len(data[end])
@@ -237,68 +275,124 @@ def compare(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, num
         part = data[at:end]
         sets += shingle_sets(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in part])]).astype(np.int64), width)
         at = end
-    n = np.array([len(s) for s in sets], np.int64)
-    return link(ids, side, n, np.stack([short_sketch(s) for s in sets]), num, den, lambda i, j: is_similar(sets[i], sets[j], num, den))
+    return sets
+
+
+def as_links(links: list[tuple[int, int]]):
+    import pandas as pd
+
+    return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64").drop_duplicates()
 
 
-def in_block_pairs(rows: DataFrame, group: str, size: str, doc: str, block: int, few: int) -> DataFrame:
-    """Adds p, q (a pair of blocks of the group), side and slot; groups of one block share slots."""
-    rows = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("part", F.pmod(F.xxhash64(doc), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def in_block_pairs(rows: DataFrame, group: str, block: int, shingles: int, few: int) -> DataFrame:
+    """Adds p, q (a pair of blocks of the group), side and slot to rows of group, doc_id, n_shingles and comp.
+
+    The largest component's members aren't paired with each other: of the others (`small` blocks) each
+    block meets all, of its own `large` blocks each meets the small ones. Blocks have about `block`
+    members or `shingles` shingles, whichever is less; groups of one block share slots.
+    """
+    parts = rows.groupBy(group, "comp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("sum"))
+    sizes = parts.groupBy(group).agg(F.max_by("comp", "members").alias("largest"), F.max_by("sum", "members").alias("largest_sum"), F.max("members").alias("most"), F.sum("members").alias("all"), F.sum("sum").alias("all_sum"))
+    blocks = lambda members, total: F.greatest(F.ceil(members / block), F.ceil(total / shingles)).cast("int")
+    small, large = blocks(F.col("all") - F.col("most"), F.col("all_sum") - F.col("largest_sum")), blocks(F.col("most"), F.col("largest_sum"))
+    sizes = sizes.filter(F.col("all") > F.col("most")).withColumns({"one": blocks(F.col("all"), F.col("all_sum")) == 1, "small": small, "large": large})
+    rows = rows.join(sizes.select(group, "largest", "one", "small", "large"), group)
+    spot, inside = F.xxhash64("doc_id"), F.col("comp") == F.col("largest")
+    rows = rows.withColumn("part", F.when(F.col("one"), 0).when(inside, F.col("small") + F.pmod(spot, F.col("large"))).otherwise(F.pmod(spot, F.col("small"))).cast("int"))
+    others = F.when(F.col("one"), 1).when(inside, F.col("small")).otherwise(F.col("small") + F.col("large"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
     rows = rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
-    slot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(few))).otherwise(F.xxhash64(group, "p", "q"))
-    return rows.withColumn("slot", slot).drop("blocks", "part", "other")
+    slot = F.when(F.col("one"), F.pmod(F.xxhash64(group), F.lit(few))).otherwise(F.xxhash64(group, "p", "q"))
+    return rows.withColumn("slot", slot).drop("part", "other", "largest", "one", "small", "large")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, shingles: int, few: int) -> DataFrame:
+    """The pairs (a, b; n_b shingles) whose sets are similar. A document a goes to a task for every `shingles` shingles of its partners."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / shingles).alias("parts"))
+    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    rows = pairs.select("a", "part", F.col("b").alias("doc_id"), F.lit(False).alias("first")).unionByName(pairs.select("a", "part", F.col("a").alias("doc_id"), F.lit(True).alias("first")).distinct())
+    rows = staged(rows, "pairs")
+    # documents in no pair stay where they are; the join is merged at every size, as a broadcast that
+    # ends at some size would make the shuffle jump there
+    near = maybe_among(docs, "doc_id", rows.select(F.col("doc_id").alias("id")), "maybe").filter("maybe").select("doc_id", "text")
+    texts = near.join(rows.hint("merge"), "doc_id").withColumn("slot", F.pmod(F.xxhash64("a", "part"), F.lit(few)))
+
+    def run(pdf):
+        links = []
+        for _, g in pdf.groupby(["a", "part"], sort=True):
+            g = g.drop_duplicates(["doc_id", "first", "text"])
+            mine = sets_of(g["text"][g["first"]].tolist(), width)
+            rest = g[~g["first"]]
+            a = int(g["a"].iloc[0])
+            links += [(a, int(b)) for b, s in zip(rest["doc_id"], sets_of(rest["text"].tolist(), width), strict=True) if any(is_similar(x, s, num, den) for x in mine)]
+        return as_links(links)
+
+    return texts.select("slot", "a", "part", "doc_id", "first", "text").groupBy("slot").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, block: int = 1024, block_shingles: int = 1 << 18, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; links are sets with similarity num/den or more."""
     ship(docs.sparkSession)
     docs = documents(docs)
-    known = staged(describe(docs, width), "sets")
+    buckets = max(64, input_bytes(docs) // bucket_bytes)
+    few = 4 * buckets
+    every = staged(describe(docs, width, Bands(num, den), buckets), "sets")
+    known = every.filter("bucket IS NULL").drop("bucket", "keys", "docs")
     first = staged(known.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first")).filter("first is not null"), "first")
-    to_first = known.filter("n_shingles > 0 and doc_id is not null").join(first, ["n_shingles", "s1", "s2"])
-    moved = staged(to_first.filter("doc_id <> first").select(F.col("doc_id").alias("id"), "first").distinct(), "moved")
-    buckets = max(64, input_bytes(docs) // (8 << 20))
-    groups = candidates(docs.filter("doc_id is not null"), width, Bands(num, den), buckets)
+    have = known.filter("n_shingles > 0 and doc_id is not null")
+    moved = staged(have.join(first, ["n_shingles", "s1", "s2"]).filter("doc_id <> first").select(F.col("doc_id").alias("id"), "first").distinct(), "moved")
+    groups = groups_of(every.filter("bucket IS NOT NULL").select("bucket", "keys", "docs"), 8 * bucket_bytes)
     # equal sets stand for their first document
-    groups = groups.join(moved.withColumnRenamed("id", "doc"), "doc", "left").select("grp", "size", F.coalesce("first", "doc").alias("doc")).distinct()
-    groups = in_block_pairs(groups, "grp", "size", "doc", block, 4 * buckets).withColumnRenamed("doc", "doc_id")
-    sketches = known.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
-    groups = groups.join(sketches.hint("merge"), "doc_id")
+    for c in ("doc", "pivot"):
+        groups = groups.join(moved.select(F.col("id").alias(c), F.col("first").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    groups = staged(groups.distinct(), "groups")
+    sketches = have.select("doc_id", "n_shingles", "sketch")
+
+    # 1. with the smallest id of a key
+    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+    pairs = groups.filter("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    far = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (far * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
+    links = staged(verified(staged(pairs.groupBy("a", "b").agg(F.max("n_b").alias("n_b")), "likely"), docs, width, num, den, block_shingles, few), "links1")
+    part = components(links, "part").select(F.col("id").alias("doc"), F.col("component").alias("comp"))
+
+    # 2. sketches of what a key still has in several components
+    members = groups.select("grp", "doc").distinct().join(part, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    several = members.groupBy("grp").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("n > 2 AND low <> high").select("grp")
+    members = staged(members.join(several, "grp").withColumnRenamed("doc", "doc_id").join(sketches.hint("merge"), "doc_id"), "open_groups")
 
     def prune(pdf):
-        import pandas as pd
-
-        links = []
+        found = []
         for _, g in pdf.groupby(["grp", "p", "q"], sort=True):
             g = g.sort_values("doc_id", kind="stable")
-            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), SHORT_WORDS)
-            links += link(g["doc_id"].to_numpy(np.int64), g["side"].to_numpy(), g["n_shingles"].to_numpy(np.int64), sketch, num, den, lambda i, j: True)
-        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64").drop_duplicates()
-
-    likely = groups.select("slot", "grp", "p", "q", "side", "doc_id", "n_shingles", "sketch").groupBy("slot").applyInPandas(prune, "a long, b long")
-    clusters = staged(components(likely, "clusters"), "cluster_members")
-    sizes = staged(clusters.groupBy("component").count(), "cluster_sizes")
-    clusters = staged(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", F.col("count").alias("size")), "cluster_parts")
-    # documents in no cluster stay where they are; the join is merged at every size, as a broadcast that
-    # ends at some size would make the shuffle jump there
-    near = maybe_among(docs, "doc_id", clusters.select(F.col("doc_id").alias("id")), "maybe").filter("maybe").select("doc_id", "text")
-    texts = in_block_pairs(near.join(clusters.hint("merge"), "doc_id"), "component", "size", "doc_id", block, 4 * buckets)
-
-    def verify(pdf):
-        import pandas as pd
-
-        links = []
-        for _, g in pdf.groupby(["component", "p", "q"], sort=True):
-            g = g.drop_duplicates(["doc_id", "text"])
-            links += compare(g["doc_id"].to_numpy(np.int64), g["text"].tolist(), g["side"].to_numpy(), width, num, den)
-        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
-
-    links = texts.select("slot", "component", "p", "q", "side", "doc_id", "text").groupBy("slot").applyInPandas(verify, "a long, b long")
-    found = components(links, "links")
-    named = known.join(first, ["n_shingles", "s1", "s2"], "left")
-    named = named.join(found.withColumnRenamed("id", "first"), "first", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
+            sketch = np.stack(g["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+            found += link(g["doc_id"].to_numpy(np.int64), g["side"].to_numpy(), g["n_shingles"].to_numpy(np.int64), sketch, g["comp"].to_numpy(np.int64), num, den, lambda i, j: True)
+        return as_links(found)
+
+    likely = in_block_pairs(members, "grp", block, 1 << 62, few).select("slot", "grp", "p", "q", "side", "doc_id", "n_shingles", "comp", "sketch").groupBy("slot").applyInPandas(prune, "a long, b long")
+    likely = staged(likely.distinct(), "likely2")
+    if not likely.isEmpty():
+        # 3. texts of components that sketches join
+        of = members.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.max("n_shingles").alias("n_shingles"))
+        end = lambda c: of.select(F.col("doc_id").alias(c), F.col("comp").alias(f"comp_{c}"))
+        joined = components(likely.join(end("a"), "a").join(end("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "clusters")
+        rows = staged(of.join(joined.select(F.col("id").alias("comp"), F.col("component").alias("cluster")), "comp"), "cluster_members")
+        near = maybe_among(docs, "doc_id", rows.select(F.col("doc_id").alias("id")), "maybe").filter("maybe").select("doc_id", "text")
+        texts = near.join(in_block_pairs(rows, "cluster", block, 4 * block_shingles, few).drop("n_shingles").hint("merge"), "doc_id")
+
+        def verify(pdf):
+            found = []
+            for _, g in pdf.groupby(["cluster", "p", "q"], sort=True):
+                g = g.drop_duplicates(["doc_id", "text"]).sort_values("doc_id", kind="stable")
+                sets = sets_of(g["text"].tolist(), width)
+                n, sketch = np.array([len(s) for s in sets], np.int64), np.stack([short_sketch(s) for s in sets])
+                found += link(g["doc_id"].to_numpy(np.int64), g["side"].to_numpy(), n, sketch, g["comp"].to_numpy(np.int64), num, den, lambda i, j, sets=sets: is_similar(sets[i], sets[j], num, den))
+            return as_links(found)
+
+        more = texts.select("slot", "cluster", "p", "q", "side", "doc_id", "comp", "text").groupBy("slot").applyInPandas(verify, "a long, b long")
+        part = components(links.unionByName(more), "links").select(F.col("id").alias("doc"), F.col("component").alias("comp"))
+    named = known.select("doc_id", "n_shingles", "s1", "s2").join(first, ["n_shingles", "s1", "s2"], "left").join(part.withColumnRenamed("doc", "first"), "first", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "first", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
