@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -173,22 +175,69 @@ def brute_removal(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "hot_bytes", "many"), [(32, 64 << 20, 64), (2, 64 << 20, 64), (3, 500, 2), (2, 100, 5)])
+def test_repeats(spark, monkeypatch, hot, hot_bytes, many):
+    """Whole hashes, hashes in several shards, and split buckets."""
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "HOT_BYTES", hot_bytes)
+    monkeypatch.setattr(suffix, "MANY", many)
     rows = [x for x in odd_rows() if not (x[0] == 12 and x[1] != "a b")]
     shared = prose(random.Random(9), 60)
     rows += [(100 + k, prose(random.Random(k), 20) + shared + prose(random.Random(k + 50), 20 + k), None, None, 0) for k in range(12)]
+    rows += [(200 + k, prose(random.Random(k), 9) + shared[k : 90 + 3 * k] + prose(random.Random(k + 70), 9), None, None, 0) for k in range(30)]
     got = suffix.digest(suffix.remove_repeats(frame(spark, rows))).collect()
     assert len(got) == len(rows)
-    found = {((1 << 63) - 1 if x["doc_id"] is None else x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got}
-    want = brute_removal(rows, 100)
     none = (1 << 63) - 1
+    found = {(none if x["doc_id"] is None else x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got}
+    want = brute_removal(rows, 100)
     assert {x for x in found if x[0] != none} == {x for x in want if x[0] != none}
+    # null ids come last, in an order of their own: what they keep of all others is known
+    of_none = [(d, t) for d, t, *_ in rows if d is None]
+    ways = [brute_removal([(d, t) for d, t, *_ in rows if d is not None] + [(none - len(order) + k, t) for k, (_, t) in enumerate(order)], 100)[-len(order) :] for order in permutations(of_none)]
+    assert sorted(x[1:] for x in found if x[0] == none) in [sorted(x[1:] for x in way) for way in ways]
     assert sum(x[2] for x in want) > 3000
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_registered_table_reaches_the_merge(spark, monkeypatch):
+    """On the documents of a registered table some hashes go to several shards, whose lists are merged."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables here")
+    monkeypatch.setattr(suffix, "HOT", 2)
+    rows = []
+    kept = suffix.staged
+
+    def spy(df, name):
+        out = kept(df, name)
+        if name == "judged":
+            rows.append(out.filter(f"kind = {suffix.WINDOW}").count())
+        return out
+
+    monkeypatch.setattr(suffix, "staged", spy)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = suffix.digest(suffix.remove_repeats(docs)).collect()
+    assert rows[0] > 0
+    want = {x[0]: x for x in brute_removal([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 100)}
+    assert {x["doc_id"]: (x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == want
+
+
+def test_neighbour_grams_lose_no_window():
+    """Of two different runs with a common window, both are judged."""
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        common = r.integers(97, 101, int(r.integers(100, 160)), dtype=np.uint8)
+        texts = [np.concatenate([r.integers(97, 123, int(r.integers(0, 90)), dtype=np.uint8), common, r.integers(97, 123, int(r.integers(0, 90)), dtype=np.uint8)]) for _ in range(2)]
+        raw, offsets = np.concatenate(texts), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])])
+        start, n, h, bytes_hash, twice, around = suffix.runs(raw, offsets, 100)
+        order = np.argsort(h, kind="stable")
+        judged = np.zeros(len(h), bool)
+        judged[order] = suffix.to_judge(h[order], twice[order], around[order])
+        windows = [{raw[i : i + 100].tobytes() for i in range(a, a + k)} for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+        for i in range(len(h)):
+            if any(j != i and windows[i] & windows[j] for j in range(len(h))):
+                assert judged[i]
+
+
 def test_cut_repeats_keeps_columns(spark):
     df = frame(spark)
     out = suffix.cut_repeats(df)

@@ -3,20 +3,23 @@
 A byte goes if it is covered by a string of `length` bytes that also starts earlier: in a smaller
 document, or earlier in the same one. The strings are judged on the input, never across documents.
 
-1. Every window of `length` bytes belongs to the smallest hash among its 16-byte grams, so equal
+1. Every window of `length` bytes belongs to the smallest hash among its 32-byte grams, so equal
    windows belong to the same hash. Consecutive windows of one hash are a run. In a batch, and then in
    each bucket of hashes, runs with equal bytes are one: all but the first are removed at once.
-2. What is left to judge are hashes with runs of different bytes (edges of shared passages) and runs
-   that hold their hash twice (periodic text). Their bytes are dealt to shards by hash.
+2. What is left to judge are runs of a hash that may share a window although their bytes differ (edges
+   of shared passages): a shared window has its gram's 32 bytes before or after it in common as well, so
+   runs without an equal neighbour gram are out. Runs that hold their hash twice (periodic text) are in,
+   with all of their hash. The bytes of these runs are dealt to shards by hash.
 3. A shard sorts its suffixes by Larsson-Sadakane refinement (only groups that aren't sorted yet, by
    the ranks of what follows, with doubling depth) and finds common prefixes by Kasai's walk, many
    stretches of the text in step. Neighbours with a common prefix of `length` bytes are one string,
    whose earliest start stays.
-4. A hash with very many runs is dealt to several shards; their sorted lists of strings are merged by
-   binary search, in buckets of the strings' digests.
+4. A hash with more than HOT runs to judge is dealt to several shards; their sorted lists of strings are
+   merged by binary search, in buckets of the strings' digests.
 
-No step sees more of a hash than its share of 4,096 runs, except for the packed numbers (about 25
-bytes a run) of step 1.
+A bucket of step 1 that holds more than HOT_BYTES is split by the runs' bytes: equal runs meet in a part;
+a hash with many runs in a part goes on to step 3 at once, the others meet again in their bucket, which
+then is small. Texts that surely have nothing to judge or to cut aren't shuffled.
 
 Defined cases: a null or empty text has no bytes and no spans; a null id counts as the largest; rows
 that share an id are ordered by a hash of their text, and rows alike in both are one document that is
@@ -32,14 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftnet.llm.common import _BYTE_MIX, _INVERSE, input_bytes, map_batches, mix64, powers, ship, staged, text_bytes
+from weftnet.llm.common import _BYTE_MIX, _INVERSE, input_bytes, map_arrow, map_gathered, maybe_among, mix64, powers, ship, staged, text_bytes
 from weftnet.llm.jaccard import planes, unplanes
 
-GRAM, STRETCH, HOT = 16, 1 << 19, 4096
+GRAM, STRETCH = 32, 1 << 19
+#: Runs of a hash that one shard judges; packed bytes of a bucket of step 1; runs of a hash that are many in a part of a split bucket.
+HOT, HOT_BYTES, MANY = 32, 64 << 20, 64
 _B = 0x9E3779B97F4A7C15
-PACKED = "kind int, slot int, hash binary, bytes_hash binary, doc binary, text_hash binary, start binary, size binary"
+PACKED = "kind int, slot int, hash binary, bytes_hash binary, doc binary, text_hash binary, start binary, size binary, around binary"
 CUT, RUN, ASK, WINDOW = 1, 0, 2, 3
 _MOST = (1 << 63) - 1
+_MARK = (1 << 32) - 1  # around a run that says: this hash has many
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,7 +58,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashes of all 16-byte strings."""
+    """Hashes of all strings of GRAM bytes."""
     h, have = _BYTE_MIX[raw], 1
     while have < GRAM:
         h = h[:-have] * np.uint64(pow(_B, have, 1 << 64)) + h[have:]
@@ -61,7 +67,10 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """start, number of windows, hash, hash of the bytes and whether the hash occurs twice, of all runs."""
+    """start, number of windows, hash, hash of the bytes, whether the hash occurs twice, and what is around it, of all runs.
+
+    The latter are 16 bits each of the hashes of the grams just before and after, 0 where they aren't in the run.
+    """
     width = length - GRAM + 1
     flags = np.zeros(len(raw) + 1, np.int8)
     has = np.diff(offsets) >= length
@@ -89,16 +98,19 @@ def runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
             j = slice(i, i + 8192)
             left[j] = begin[j] + (view[begin[j]] == mine[j, None]).argmax(1)
             right[j] = stop[j] - 1 + width - 1 - (view[stop[j] - 1][:, ::-1] == mine[j, None]).argmax(1)
+        before, after = left - GRAM, left + GRAM
+        bits = lambda at, inside, h=h: np.where(inside, np.maximum(h[np.clip(at, 0, len(h) - 1)] >> np.uint64(48), np.uint64(1)), np.uint64(0))
+        around = bits(before, before >= begin) << np.uint64(16) | bits(after, after + GRAM <= stop + length - 1)
         summed = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE_MIX[part] * powers(len(part)), out=summed[1:])
         whole = (summed[stop + length - 1] - summed[begin]) * powers(len(part), _INVERSE)[begin]
-        out.append((begin + at, n, mine, mix64(whole + n.astype(np.uint64)), left < right))
+        out.append((begin + at, n, mine, mix64(whole + n.astype(np.uint64)), left < right, around.astype(np.int64)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def packed(kind: int, slot: np.ndarray, doc, text_hash, start, size, hashes=None, bytes_hash=None) -> dict | None:
+def packed(kind: int, slot: np.ndarray, doc, text_hash, start, size, hashes=None, bytes_hash=None, around=None) -> dict | None:
     """Columns of PACKED, a row a slot."""
     if not len(slot):
         return None
@@ -116,19 +128,19 @@ def packed(kind: int, slot: np.ndarray, doc, text_hash, start, size, hashes=None
     raw = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
     return {
         "kind": pa.array([kind] * len(bounds), pa.int32()), "slot": pa.array([int(slot[i]) for i, _ in bounds], pa.int32()), "hash": column(hashes, raw),
-        "bytes_hash": column(bytes_hash, lambda x: x.astype("<u8").tobytes()), "doc": column(doc, planes), "text_hash": column(text_hash, lambda x: x.astype("<i4").tobytes()), "start": column(start, planes), "size": column(size, planes),
+        "bytes_hash": column(bytes_hash, lambda x: x.astype("<u8").tobytes()), "doc": column(doc, planes), "text_hash": column(text_hash, lambda x: x.astype("<i4").tobytes()), "start": column(start, planes), "size": column(size, planes), "around": column(around, lambda x: x.astype("<u4").tobytes()),
     }
 
 
 def unpacked(pdf) -> tuple[np.ndarray, ...]:
-    """hash, hash of the bytes, document, hash of its text, start and size of all rows of packed blocks."""
+    """hash, hash of the bytes, document, hash of its text, start, size and what is around, of all rows of packed blocks."""
     def six(b: bytes) -> np.ndarray:
         x = np.zeros((len(b) // 6, 8), np.uint8)
         x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
         return x.reshape(-1).view("<u8")
 
     join = lambda name, f: np.concatenate([f(b) for b in pdf[name]])
-    return join("hash", six), join("bytes_hash", lambda b: np.frombuffer(b, "<u8")), join("doc", unplanes), join("text_hash", lambda b: np.frombuffer(b, "<i4")), join("start", unplanes), join("size", unplanes)
+    return join("hash", six), join("bytes_hash", lambda b: np.frombuffer(b, "<u8")), join("doc", unplanes), join("text_hash", lambda b: np.frombuffer(b, "<i4")), join("start", unplanes), join("size", unplanes), join("around", lambda b: np.frombuffer(b, "<u4")).astype(np.int64)
 
 
 def doc_slot(doc: np.ndarray, slots: int) -> np.ndarray:
@@ -175,28 +187,35 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     more than one suffix by the rank of what follows, and doubles the depth.
     """
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(7):
-        key = (key << np.uint64(9)) | (wide[k : k + n] + np.uint64(1)) * (np.arange(n) + k < n)
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    last = np.append(sorted_key[1:] != sorted_key[:-1], True) if n else np.zeros(0, bool)
-    ends = np.flatnonzero(last)
+        part = wide[k : k + n] + np.uint64(1)
+        part[max(0, n - k) :] = 0
+        key = (key << np.uint64(9)) | part
+    sa = np.argsort(key)
+
+    def ends_of(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row is the last of its group, and the place of the last one."""
+        last = np.append(sorted_key[1:] != sorted_key[:-1], True)
+        ends = np.flatnonzero(last)
+        return last, np.repeat(ends, np.diff(ends, prepend=-1))
+
+    last, place = ends_of(key[sa])
     rank = np.empty(n + 1, np.int64)
-    place = ends[np.searchsorted(ends, np.arange(n))]
     rank[sa], rank[n] = place, -1
-    open_ = np.flatnonzero(~(last & np.append(True, last[:-1]))) if n else np.zeros(0, np.int64)
+    open_ = np.flatnonzero(~(last & np.append(True, last[:-1])))
     h = 7
     while len(open_):
         some = sa[open_]
-        own, follow = rank[some], rank[np.minimum(some + h, n)]
-        order = np.lexsort((follow, own))
-        some, own, follow = some[order], own[order], follow[order]
+        key = (rank[some] << np.int64(32)) | (rank[np.minimum(some + h, n)] + 1)
+        order = np.argsort(key)
+        some = some[order]
         sa[open_] = some
-        last = np.append((own[1:] != own[:-1]) | (follow[1:] != follow[:-1]), True)
-        ends = np.flatnonzero(last)
-        rank[some] = open_[ends[np.searchsorted(ends, np.arange(len(some)))]]
+        last, place = ends_of(key[order])
+        rank[some] = open_[place]
         open_ = open_[~(last & np.append(True, last[:-1]))]
         h *= 2
     return sa
@@ -206,12 +225,14 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, stretch: int =
     """Length of the common prefix, up to `most`, of each suffix in `sa` and the one before it.
 
     Kasai's walk: going one byte on in the text loses one byte of the common prefix at most. Stretches
-    of the text walk in step, each from its own beginning.
+    of the text walk in step, each from its own beginning, and compare eight bytes at a time.
     """
     n = len(sa)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    wide = np.concatenate([text, np.zeros(1, np.uint8)])
+    wide, words = np.concatenate([text, np.zeros(8, np.uint8)]), np.zeros(n, np.uint64)
+    for k in range(8):
+        words |= wide[k : k + n].astype(np.uint64) << np.uint64(8 * k)
     starts = np.arange(0, n, stretch)
     h = np.zeros(len(starts), np.int64)
     found = np.zeros(n, np.int64)
@@ -220,14 +241,14 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, stretch: int =
         inside = i < n
         i = np.where(inside, i, 0)
         j = before[i]
-        h = np.where(inside & (j >= 0), np.maximum(h - 1, 0), 0)
-        go = np.flatnonzero(inside & (j >= 0) & (h < most))
+        bound = np.where(inside & (j >= 0), np.minimum(most, n - np.maximum(i, j)), 0)
+        h = np.minimum(np.maximum(h - 1, 0), bound)
+        go = np.flatnonzero(h < bound)
         while len(go):
-            a, b = i[go] + h[go], j[go] + h[go]
-            fits = (a < n) & (b < n)
-            go = go[fits & (wide[np.minimum(a, n)] == wide[np.minimum(b, n)])]
-            h[go] += 1
-            go = go[h[go] < most]
+            x = words[i[go] + h[go]] ^ words[j[go] + h[go]]
+            same = (np.bitwise_count((x & -x) - np.uint64(1)) >> 3).astype(np.int64)  # equal bytes from the lowest on
+            h[go] = np.minimum(h[go] + same, bound[go])
+            go = go[(same == 8) & (h[go] < bound[go])]
         found[i[inside]] = h[inside]
     return found[sa]
 
@@ -275,54 +296,136 @@ def joined(start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> tuple[np.n
     return (start[first], start[last] + size, *[k[first] for k in keys])
 
 
-def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
-    """Packed (document, start, end) of what repeats, by document slot (kind CUT)."""
+def to_judge(h: np.ndarray, twice: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Which of a bucket's different runs, in order of hashes, may share a window with another run, or with themselves."""
+    if not len(h):
+        return np.zeros(0, bool)
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    many = np.diff(np.append(at, len(h)))
+    name = np.repeat(np.arange(len(at)), many)
+    out = twice | (np.logical_or.reduceat(twice, at) & (many > 1))[name]
+    for side in (around >> 16, around & 0xFFFF):
+        order = np.lexsort((side, name))
+        x, y = name[order], side[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (y[1:] > 0)
+        out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def as_rows(parts: list[dict | None]):
+    import pandas as pd
+
+    found = [pa.RecordBatch.from_pydict(p).to_pandas() for p in parts if p]
+    return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in PACKED.split(", ")})
+
+
+def settled(pdf, length: int, slots: int) -> tuple[dict | None, tuple[np.ndarray, ...]]:
+    """Cuts of all but the first of equal runs, and the first ones, in order of hashes."""
+    h, bytes_hash, d, t, start, n, around = unpacked(pdf)
+    order, same = later([h, bytes_hash, np.abs(n), d, t, start])
+    again, first = order[same], order[~same]
+    cut = packed(CUT, doc_slot(d[again], slots), d[again], t[again], start[again], start[again] + np.abs(n[again]) + length - 1)
+    return cut, tuple(x[first] for x in (h, bytes_hash, d, t, start, n, around))
+
+
+def nth_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each row's hash and its place there; hashes come in order."""
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    many = np.diff(np.append(at, len(h)))
+    return np.repeat(many, many), np.arange(len(h)) - np.repeat(at, many)
 
-    def emit(batch: pa.RecordBatch) -> list:
+
+def judged_first(docs: DataFrame, length: int, slots: int) -> DataFrame:
+    """Steps 1 and 2: packed rows of what is cut already (CUT) and of runs to judge (ASK)."""
+
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         raw, offsets = text_bytes(batch.column(2))
         doc, text_hash = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        start, n, h, bytes_hash, twice = runs(raw, offsets, length)
+        start, n, h, bytes_hash, twice, around = runs(raw, offsets, length)
         row = np.searchsorted(offsets, start, side="right") - 1
         start, d, t = start - offsets[row], doc[row], text_hash[row]
         order, same = later([h, bytes_hash, n, d, t, start])
         again, first = order[same], order[~same]
         slot = ((h[first] & np.uint64((1 << 48) - 1)) % np.uint64(slots)).astype(np.int64)
-        return [
+        parts = [
             packed(CUT, doc_slot(d[again], slots), d[again], t[again], start[again], start[again] + n[again] + length - 1),
-            packed(RUN, slot, d[first], t[first], start[first], np.where(twice[first], -n[first], n[first]), h[first], bytes_hash[first]),
+            packed(RUN, slot, d[first], t[first], start[first], np.where(twice[first], -n[first], n[first]), h[first], bytes_hash[first], around[first]),
         ]
-
-    def meet(key, pdf):
-        import pandas as pd
-
-        kind, slot = key
-        if kind == CUT:
-            return pdf
-        h, bytes_hash, d, t, start, n = unpacked(pdf)
-        order, same = later([h, bytes_hash, np.abs(n), d, t, start])
-        again, first = order[same], order[~same]
-        parts = [packed(CUT, doc_slot(d[again], slots), d[again], t[again], start[again], start[again] + np.abs(n[again]) + length - 1)]
-        hf = h[first]
-        new = np.append(True, hf[1:] != hf[:-1]) if len(hf) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        many = np.diff(np.append(at, len(hf)))
-        many, nth = np.repeat(many, many), np.arange(len(hf)) - np.repeat(at, many)
-        ask = (many > 1) | (n[first] < 0)
-        first, hf, many, nth = first[ask], hf[ask], many[ask], nth[ask]
+        found = [pa.RecordBatch.from_pydict(p) for p in parts if p]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
+
+    def ask(h, d, t, start, n, lot) -> dict | None:
+        return packed(ASK, doc_slot(d, slots), d, t, start, np.abs(n), h, lot.astype(np.uint64))
+
+    def meet(pdf):
+        cut, (h, _, d, t, start, n, around) = settled(pdf, length, slots)
+        some = to_judge(h, n < 0, around)
+        h, d, t, start, n, around = (x[some] for x in (h, d, t, start, n, around))
+        many, nth = nth_of(h)
+        split = many > HOT
+        if len(h):
+            at = np.flatnonzero(nth == 0)
+            split |= np.repeat(np.logical_or.reduceat(around == _MARK, at), many[at])
         # of a hash with very many runs, each lot of HOT goes to a shard of its own, marked by the lot's number
-        lot = np.where(many > HOT, nth // HOT + 1, 0)
-        parts.append(packed(ASK, doc_slot(d[first], slots), d[first], t[first], start[first], np.abs(n[first]), hf, lot.astype(np.uint64)))
-        return pd.concat([pa.RecordBatch.from_pydict(p).to_pandas() for p in parts if p] or [pdf.head(0)])
+        return as_rows([cut, ask(h, d, t, start, n, np.where(split, nth // HOT + 1, 0))])
+
+    def part(key, pdf):
+        cut, (h, b, d, t, start, n, around) = settled(pdf, length, slots)
+        many, nth = nth_of(h)
+        hot = many >= MANY
+        on = ~hot | (nth == 0)
+        lots = (int(key[1]) + 1) * 4096 + nth // HOT
+        mark = np.where(hot, _MARK, around)
+        slot = np.full(len(h), int(key[0]), np.int64)
+        return as_rows([cut, ask(*(x[hot] for x in (h, d, t, start, n, lots))), packed(RUN, slot[on], d[on], t[on], start[on], np.where(hot, -np.abs(n), n)[on], h[on], b[on], mark[on])])
+
+    def deal(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pandas()
+                h, b, d, t, start, n, around = unpacked(row)
+                parts = packed(RUN, (mix64(h + b) % np.uint64(row["parts"].iloc[0])).astype(np.int64), d, t, start, n, h, b, around)
+                yield pa.RecordBatch.from_pydict(parts | {"part": parts["slot"], "slot": pa.array([int(row["slot"].iloc[0])] * len(parts["slot"]), pa.int32())}).select([*row.columns.drop("parts"), "part"])
+
+    emitted = staged(map_gathered(docs.select("doc", "text_hash", "text"), emit, PACKED, 2 << 20), "runs")
+    met = emitted.filter(F.col("kind") == RUN)
+    sizes = met.groupBy("slot").agg(F.sum(F.length("bytes_hash") * 4).alias("bytes"))
+    hot = staged(sizes.filter(F.col("bytes") > HOT_BYTES).select("slot", F.ceil(F.col("bytes") / HOT_BYTES).alias("parts")), "hot_slots")
+    done = [emitted.filter(F.col("kind") == CUT)]
+    if not hot.isEmpty():
+        dealt = map_arrow(met.join(hot, "slot").select(*met.columns, "parts"), deal, f"{PACKED}, part int")
+        split = staged(dealt.groupBy("slot", "part").applyInPandas(part, PACKED), "hot_parts")
+        done.append(split.filter(F.col("kind") != RUN))
+        met = met.join(hot, "slot", "left_anti").select(*met.columns).unionByName(split.filter(F.col("kind") == RUN))
+    done.append(staged(met.groupBy("slot").applyInPandas(meet, PACKED), "met"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def documents_of(rows: DataFrame) -> DataFrame:
+    """Ids of the documents in packed rows, repeated ones included."""
+
+    def run(batches):
+        for batch in batches:
+            docs = [np.unique(unplanes(b.as_py())) for b in batch.column(0)]
+            if docs:
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.unique(np.concatenate(docs)), pa.int64())})
+
+    return map_arrow(rows.select("doc"), run, "id long")
 
-    found = map_batches(docs.select("doc", "text_hash", "text"), emit, PACKED, 2 << 20)
-    found = staged(found.groupBy("kind", "slot").applyInPandas(meet, PACKED), "runs")
+
+def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
+    """Packed (document, start, end) of what repeats, by document slot (kind CUT)."""
+    found = judged_first(docs, length, slots)
 
     def fetch(key, left, right):
         import pandas as pd
 
         if not len(right):
             return pd.DataFrame({c: [] for c in ("shard", "lot", "hash", "doc", "text_hash", "start", "size", "text")})
-        h, lot, d, t, start, n = unpacked(right)
+        h, lot, d, t, start, n, _ = unpacked(right)
         have = {(a, b): x for a, b, x in zip(left["doc"], left["text_hash"], left["text"], strict=True)}
         order = np.lexsort((t, d))
         pieces: dict[int, bytes] = {}
@@ -341,13 +444,11 @@ def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
                 rows.append((int(shard[g[0]]), int(lot[g[0]] > 0), (h[g] ^ (lot[g] << np.uint64(48))).tobytes(), planes(d[g]), t[g].astype("<i4").tobytes(), planes(start[g]), planes(n[g]), b"".join(pieces[i] for i in g.tolist())))
         return pd.DataFrame(rows, columns=["shard", "lot", "hash", "doc", "text_hash", "start", "size", "text"])
 
-    by_slot = docs.select("doc", "text_hash", "text", slot_of(F.col("doc"), slots).alias("slot"))
     asked = found.filter(F.col("kind") == ASK)
+    by_slot = maybe_among(docs.select("doc", "text_hash", "text"), "doc", documents_of(asked), "maybe").filter("maybe").select("doc", "text_hash", "text", slot_of(F.col("doc"), slots).alias("slot"))
     stretches = by_slot.groupBy("slot").cogroup(asked.groupBy("slot")).applyInPandas(fetch, "shard int, lot int, hash binary, doc binary, text_hash binary, start binary, size binary, text binary")
 
     def judge(key, pdf):
-        import pandas as pd
-
         hot = bool(key[1])
         h = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["hash"]])
         d, start, n = (np.concatenate([unplanes(b) for b in pdf[c]]) for c in ("doc", "start", "size"))
@@ -380,16 +481,14 @@ def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
                 keep = np.flatnonzero(~gone)
                 one, two = window_digests(piece, position[keep], length)
                 parts.append(packed(WINDOW, (one % np.uint64(slots)).astype(np.int64), dd[keep], tt[keep], w[keep], np.full(len(keep), 1), two, one))
-        return pd.concat([pa.RecordBatch.from_pydict(p).to_pandas() for p in parts if p] or [pd.DataFrame({c.split()[0]: [] for c in PACKED.split(", ")})])
+        return as_rows(parts)
 
     judged = staged(stretches.groupBy("shard", "lot").applyInPandas(judge, PACKED), "judged")
 
     def merge(key, pdf):
-        import pandas as pd
-
         lists = []
         for k in range(len(pdf)):
-            two, one, d, t, w, _ = unpacked(pdf.iloc[k : k + 1])
+            two, one, d, t, w, *_ = unpacked(pdf.iloc[k : k + 1])
             order = np.lexsort((two, one))
             lists.append(tuple(x[order] for x in (one, two, d, t, w)))
         one, two, d, t, w = (np.concatenate(c) for c in zip(*lists, strict=True))
@@ -405,10 +504,10 @@ def find_repeats(docs: DataFrame, length: int, slots: int) -> DataFrame:
             order = np.lexsort((z[gone], y[gone], x[gone]))
             a, b, u, v = joined(z[gone][order], length, x[gone][order], y[gone][order])
             parts.append(packed(CUT, doc_slot(u, slots), u, v, a, b))
-        return pd.concat([pa.RecordBatch.from_pydict(q).to_pandas() for q in parts if q] or [pdf.head(0)])
+        return as_rows(parts)
 
     merged = judged.filter(F.col("kind") == WINDOW).groupBy("slot").applyInPandas(merge, PACKED)
-    cuts = found.filter(F.col("kind") == CUT).unionByName(judged.filter(F.col("kind") == CUT)).unionByName(merged)
+    cuts = found.filter(F.col("kind") == CUT).unionByName(judged.filter(F.col("kind") == CUT)).unionByName(staged(merged, "merged"))
     return cuts.select("slot", "doc", "text_hash", "start", "size")
 
 
@@ -451,8 +550,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, keep: list[str] | None
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "starts", "ends", "kept", "kept_text", "rest"])
         return out.astype({"doc_id": "Int64"})
 
-    by_slot = docs.withColumn("slot", slot_of(F.col("doc"), slots))
-    return by_slot.groupBy("slot").cogroup(cuts.groupBy("slot")).applyInPandas(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, kept_text string, rest string")
+    marked = maybe_among(docs, "doc", documents_of(cuts), "maybe")
+    none = F.array().cast("array<long>")
+    whole = marked.filter(~F.col("maybe")).select(
+        F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"),
+        F.col("text").cast("binary").alias("kept"), (F.col("text") if keep is not None else F.lit(None).cast("string")).alias("kept_text"), "rest",
+    )
+    by_slot = marked.filter("maybe").drop("maybe").withColumn("slot", slot_of(F.col("doc"), slots))
+    return whole.unionByName(by_slot.groupBy("slot").cogroup(cuts.groupBy("slot")).applyInPandas(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, kept_text string, rest string"))
 
 
 def digest(removed: DataFrame) -> DataFrame:
