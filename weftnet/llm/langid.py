@@ -8,9 +8,10 @@ score is the softmax of the mean log-probability of all its windows, so whole te
 At inference the embedding is folded into the filters: each filter position becomes a table from
 byte to responses, and a batch of windows costs one table look-up per position and width.
 
-The model is fitted on a bounded sample: about `per_language` texts of each of the `languages` most
-frequent languages among the rows allowed for training, chosen by a hash of the id against a rate
-from exact counts, `windows` windows each. Model and sample have a fixed size, so they may travel.
+The model is fitted on a bounded sample of the rows allowed for training: about `most_texts` texts in
+all, `per_language` of a language at most, every language its share and at least one text, chosen by a
+hash of the id against rates from exact counts; `windows_each` windows a text. A tenth of it is kept to
+tell when to stop. So the sample's size is fixed but for very many languages; each is learned.
 
 Defined cases: a text that is null or without a letter is `und` with score 0; without training rows
 every text is `und`; a null id is kept; repeated rows give equal results; extra columns are ignored.
@@ -45,50 +46,61 @@ class ByteCNN:
         e = self.p["emb"][x]
         return np.concatenate([e[:, k : x.shape[1] - w + 1 + k] for k in range(w)], axis=2)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteCNN:
-        """Adam on the cross-entropy; the gradient of a maximum goes to the position that gave it."""
+    def gradients(self, xb: np.ndarray, yb: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients of the mean cross-entropy, and its value; that of a maximum goes to the position that gave it."""
+        pooled, where, cols = [], [], []
+        for w in self.widths:
+            c = self._patches(xb, w)
+            z = c @ self.p[f"w{w}"]
+            a = z.argmax(axis=1)
+            where.append(a)
+            cols.append(c)
+            pooled.append(np.take_along_axis(z, a[:, None], 1)[:, 0] + self.p[f"b{w}"])
+        h = np.concatenate(pooled, 1)
+        act = np.maximum(h, 0)
+        logits = act @ self.p["out"] + self.p["bias"]
+        logits -= logits.max(1, keepdims=True)
+        q = np.exp(logits)
+        q /= q.sum(1, keepdims=True)
+        loss = float(-np.log(np.maximum(q[np.arange(len(yb)), yb], 1e-30)).mean())
+        q[np.arange(len(yb)), yb] -= 1
+        q /= len(yb)
+        g = {"out": act.T @ q, "bias": q.sum(0), "emb": np.zeros_like(self.p["emb"])}
+        back = (q @ self.p["out"].T) * (h > 0)
+        for n, w in enumerate(self.widths):
+            gw = back[:, n * self.filters : (n + 1) * self.filters]
+            at_max = np.take_along_axis(cols[n], where[n][:, :, None], 1)  # row, filter, inputs
+            g[f"w{w}"] = np.einsum("nf,nfk->kf", gw, at_max)
+            g[f"b{w}"] = gw.sum(0)
+            down = gw[:, :, None] * self.p[f"w{w}"].T[None]
+            for k in range(w):
+                read = np.take_along_axis(xb, where[n] + k, 1)
+                np.add.at(g["emb"], read.ravel(), down[:, :, k * self.dim : (k + 1) * self.dim].reshape(-1, self.dim))
+        return g, loss
+
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 11, check: tuple[np.ndarray, np.ndarray] | None = None) -> ByteCNN:
+        """Adam on the cross-entropy, until the loss on `check` falls by less than a twentieth (from the second epoch on)."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        step, before = 0, np.inf
         for epoch in range(epochs):
             order = r.permutation(len(x))
             for at in range(0, len(x), batch):
                 i = order[at : at + batch]
-                xb, yb = x[i], y[i]
-                pooled, where, cols = [], [], []
-                for w in self.widths:
-                    c = self._patches(xb, w)
-                    z = c @ self.p[f"w{w}"]
-                    a = z.argmax(axis=1)
-                    where.append(a)
-                    cols.append(c)
-                    pooled.append(np.take_along_axis(z, a[:, None], 1)[:, 0] + self.p[f"b{w}"])
-                h = np.concatenate(pooled, 1)
-                act = np.maximum(h, 0)
-                logits = act @ self.p["out"] + self.p["bias"]
-                logits -= logits.max(1, keepdims=True)
-                q = np.exp(logits)
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(i)), yb] -= 1
-                q /= len(i)
-                g = {"out": act.T @ q, "bias": q.sum(0), "emb": np.zeros_like(self.p["emb"])}
-                back = (q @ self.p["out"].T) * (h > 0)
-                for n, w in enumerate(self.widths):
-                    gw = back[:, n * self.filters : (n + 1) * self.filters]
-                    at_max = np.take_along_axis(cols[n], where[n][:, :, None], 1)  # row, filter, inputs
-                    g[f"w{w}"] = np.einsum("nf,nfk->kf", gw, at_max)
-                    g[f"b{w}"] = gw.sum(0)
-                    down = gw[:, :, None] * self.p[f"w{w}"].T[None]
-                    for k in range(w):
-                        read = np.take_along_axis(xb, where[n] + k, 1)
-                        np.add.at(g["emb"], read.ravel(), down[:, :, k * self.dim : (k + 1) * self.dim].reshape(-1, self.dim))
+                g, _ = self.gradients(x[i], y[i])
                 step += 1
                 lr = rate * (1 - epoch / (epochs + 1))
                 for k in self.p:
                     m[k] += 0.1 * (g[k] - m[k])
                     v2[k] += 0.001 * (g[k] ** 2 - v2[k])
                     self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            self.tables = None
+            if check is not None and len(check[0]):
+                loss = float(-self.log_probs(check[0])[np.arange(len(check[1])), check[1]].mean())
+                if epoch and loss > 0.95 * before:
+                    break
+                before = min(before, loss)
         self.tables = None
         return self
 
@@ -133,20 +145,29 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, may_learn: Column, *, per_language: int = 1500, languages: int = 200, windows_each: int = 4, window: int = 256) -> ByteCNN | None:
+def shares(counts: dict[str, int], most: int, each: int) -> dict[str, float]:
+    """Texts to take of each language: equal shares of `most`, up to `each` and to what there is; what is left goes to the others."""
+    out, left = {}, float(most)
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, each, max(1.0, left / (len(counts) - k)))
+        left -= out[name]
+    return out
+
+
+def train(docs: DataFrame, may_learn: Column, *, most_texts: int = 6000, per_language: int = 1500, windows_each: int = 4, window: int = 256) -> ByteCNN | None:
     """Fits the network on a bounded sample of rows of doc_id, text and lang that `may_learn` marks."""
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return None
-    labels = sorted(r["lang"] for r in counts)
-    rates = F.lit(0).cast("long")
-    for r in counts:
-        rates = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 32, int((1 << 32) * per_language / r["count"])))).otherwise(rates)
     spot = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 32))
+    found = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(spot).alias("low")).collect()  # a row a language
+    if not found:
+        return None
+    labels = sorted(r["lang"] for r in found)
+    share = shares({r["lang"]: r["count"] for r in found}, most_texts, per_language)
+    limits = [(r["lang"], max(r["low"] + 1, min(1 << 32, int((1 << 32) * share[r["lang"]] / r["count"])))) for r in found]
+    rates = docs.sparkSession.createDataFrame(limits, "lang string, below long")
     span = F.greatest(F.length("text") - window, F.lit(0))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(windows_each - 1)), lambda i: F.substr("text", (F.floor(span * F.pmod(F.xxhash64(i, F.col("doc_id")), F.lit(1024)) / 1023) + 1).cast("int"), F.when(i == windows_each - 1, F.lit(48)).otherwise(F.lit(window))))
-    sample = rows.filter(spot < rates).select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).toPandas()
+    sample = rows.join(F.broadcast(rates), "lang").filter(spot < F.col("below")).select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).toPandas()
     number = {name: i for i, name in enumerate(labels)}
     order = np.argsort((sample["lang"] + "\0" + sample["piece"]).to_numpy(dtype=object), kind="stable")
     x = np.zeros((len(sample), window), np.uint8)
@@ -154,8 +175,9 @@ def train(docs: DataFrame, may_learn: Column, *, per_language: int = 1500, langu
         b = piece.encode()[:window]
         x[i, : len(b)] = np.frombuffer(b, np.uint8)
     y = sample["lang"].map(number).to_numpy()[order]
+    apart = np.random.default_rng(5).random(len(x)) < (0.1 if len(x) >= 1000 else 0)
     epochs = int(np.clip(60_000 // max(1, len(x)), 3, 40))
-    return ByteCNN(labels, window).fit(x, y, epochs=epochs)
+    return ByteCNN(labels, window).fit(x[~apart], y[~apart], epochs=epochs, check=(x[apart], y[apart]))
 
 
 def identify(docs: DataFrame, model: ByteCNN | None, keep: list[str]) -> DataFrame:
