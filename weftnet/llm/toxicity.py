@@ -5,13 +5,14 @@ of toxic against other documents under an informative Dirichlet prior (`prior` t
 for the token itself or, where that isn't known, for its longest known beginning of 4 to 6 bytes;
 only log-odds that exceed `least` and `z` standard deviations count, and every token costs `drift`.
 A linear scan finds all maximal scoring segments; a segment of score S in n tokens has the expected
-number K n exp(-lambda S) of equals by chance (extreme-value statistics, lambda from the background's
-score distribution). Segments below `alpha` are passages. A logistic curve over the best segment's
-log expectation and the number of passages gives the document's score.
+number K n exp(-lambda S) of equals by chance (extreme-value statistics). K and lambda are the most
+likely ones for the best segments of labelled texts that aren't toxic and gave no log-odds. Segments
+below `alpha` are passages: of clean texts about that share has one. A logistic curve over the best
+segment's log expectation and the number of passages gives the document's score.
 
 Learning: from a bounded sample of labelled rows (`most_toxic` and `most_other` rows about, chosen by a
 hash of the id against rates from exact counts). Two thirds of it, each text once, give the log-odds
-(at most `most_units` of them), the rest the curve. So sample and model may be broadcast.
+(of every unit that passes), the rest K, lambda and the curve. Sample and model are bounded by that.
 
 Defined cases: a null or empty text has no passage and the score of such texts; a null label is no
 label; a document labelled twice counts as toxic if one label says so; without toxic or without other
@@ -88,16 +89,23 @@ class Model:
         self.memo[w] = s
         return s
 
-    def passages(self, text: bytes) -> tuple[list[tuple[int, int, float, float]], float]:
-        """Significant segments (first token, token after the last, bits, p) and the log expectation of the best one."""
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens and all maximal segments (first token, last token, score)."""
         words = tokens(text)
         get, word = self.memo.get, self.word
         scores = [word(w) if (s := get(w)) is None else s for w in words]
         at = [i for i, s in enumerate(scores) if s > 0]
-        if not at:
-            return [], math.log(self.k * max(1, len(words)))
-        found, base, best = [], math.log(self.k * len(words)), math.inf
-        for a, b, s in segments(at, [scores[i] for i in at], self.drift):
+        return len(words), segments(at, [scores[i] for i in at], self.drift)
+
+    def passages(self, text: bytes) -> tuple[list[tuple[int, int, float, float]], float]:
+        """Significant segments (first token, token after the last, bits, p) and the log expectation of the best one."""
+        return self.judged(*self.scan(text))
+
+    def judged(self, n: int, segs: list[tuple[int, int, float]]) -> tuple[list[tuple[int, int, float, float]], float]:
+        """As passages, of segments found before."""
+        base = math.log(self.k * max(1, n))
+        found, best = [], math.inf if segs else base
+        for a, b, s in segs:
             e = base - self.lam * s
             best = min(best, e)
             p = -math.expm1(-math.exp(min(e, 50.0)))
@@ -114,19 +122,27 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, float(np.dot(self.curve, self.features(found, best)))))))
 
 
-def background_lambda(odds: list[tuple[float, float]], drift: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1 over background tokens; odds: (share of tokens, score)."""
-    rest = 1 - sum(p for p, _ in odds)
-    f = lambda x: rest * math.exp(-x * drift) + sum(p * math.exp(x * s) for p, s in odds) - 1
-    if not odds or f(1e-6) >= 0:
-        return 1.0
-    low, high = 1e-6, 1e-6
-    while f(high) < 0 and high < 16:
-        low, high = high, high * 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return low
+def extreme_value(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """K and lambda that make the best scores of texts of n tokens most likely; 0 stands for no segment.
+
+    The best score is below s with probability exp(-K n exp(-lambda s)). For a lambda the most likely K is
+    known, and the likelihood's slope in lambda changes its sign once.
+    """
+    n, has = np.maximum(n, 1).astype(float), best > 0
+    m, s = int(has.sum()), best[has]
+    if m < 2 or s.max() - s.min() < 1e-9:
+        return (m + 0.5) / (n.sum() + 1.0), 1.0
+
+    def slope(lam: float) -> tuple[float, float]:
+        e = n[has] * np.exp(-lam * s)
+        k = m / (e.sum() + n[~has].sum())
+        return m / lam - s.sum() + k * (e * s).sum(), k
+
+    low, high = 1e-4, 64.0
+    for _ in range(80):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if slope(mid)[0] > 0 else (low, mid)
+    return slope(low)[1], low
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -143,7 +159,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return c
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most_toxic: int = 20_000, most_other: int = 40_000, most_units: int = 20_000, z: float = 2.0, prior: float = 0.02, least: float = 1.5, drift: float = 0.5, alpha: float = 0.05) -> Model:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most_toxic: int = 20_000, most_other: int = 40_000, z: float = 2.0, prior: float = 0.02, least: float = 1.5, drift: float = 0.5, alpha: float = 0.05) -> Model:
     """Learns from labelled rows whose id `may_learn` marks."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -174,19 +190,23 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most_toxic:
     p, n = float(total["pos"]), float(total["neg"])
     a = F.lit(prior) * (F.col("pos") + F.col("neg"))
     logit = lambda y, size: F.log((y + a) / (size + prior * (p + n) - y - a))
-    scored = table.filter("pos >= 3").select("unit", (F.col("neg") + a).alias("seen"), (logit(F.col("pos"), p) - logit(F.col("neg"), n)).alias("odds"), F.sqrt(1 / (F.col("pos") + a) + 1 / (F.col("neg") + a)).alias("sd"))
-    top = scored.filter((F.col("odds") > z * F.col("sd")) & (F.col("odds") > least)).orderBy(F.desc(F.col("odds") / F.col("sd")), "unit").limit(most_units).collect()
+    scored = table.filter("pos >= 3").select("unit", (logit(F.col("pos"), p) - logit(F.col("neg"), n)).alias("odds"), F.sqrt(1 / (F.col("pos") + a) + 1 / (F.col("neg") + a)).alias("sd"))
+    top = scored.filter((F.col("odds") > z * F.col("sd")) & (F.col("odds") > least)).select("unit", "odds").collect()
     model.odds = {bytes(r["unit"]): min(8.0, r["odds"]) - drift for r in top}
-    model.lam = background_lambda([(r["seen"] / (n + prior * (p + n)) / len(STEMS), min(8.0, r["odds"]) - drift) for r in top], drift)
 
     def measure(batch: pa.RecordBatch) -> dict:
-        found = [model.features(*model.passages(text.encode())) for text in batch.column(1).to_pylist()]
-        return {"toxic": batch.column(0), "best": pa.array([f[1] for f in found], pa.float64()), "many": pa.array([f[2] for f in found], pa.float64())}
-
-    seen = map_batches(sample.filter("for_curve").select("toxic", "text"), measure, "toxic int, best double, many double").toPandas().sort_values(["toxic", "best", "many"])
-    y = (seen["toxic"] > 0).to_numpy(float)
+        found = [model.scan(text.encode()) for text in batch.column(1).to_pylist()]
+        return {"toxic": batch.column(0), "n": pa.array([n for n, _ in found], pa.int64()), "scores": pa.array([[s for *_, s in segs] for _, segs in found], pa.list_(pa.float64()))}
+
+    seen = map_batches(sample.filter("for_curve").select("toxic", "text"), measure, "toxic int, n long, scores array<double>").toPandas()
+    y, n, scores = (seen["toxic"] > 0).to_numpy(float), seen["n"].to_numpy(float), [np.asarray(x, float) for x in seen["scores"]]
+    best = np.array([x.max(initial=0.0) for x in scores])
+    order = np.lexsort((best, n, y))  # sums in one order, however rows came
+    y, n, best, scores = y[order], n[order], best[order], [scores[i] for i in order]
+    if (y == 0).any():
+        model.k, model.lam = extreme_value(n[y == 0], best[y == 0])
     if 0 < y.sum() < len(y):
-        x = np.column_stack([np.ones(len(seen)), seen["best"], seen["many"]])
+        x = np.array([model.features(*model.judged(int(k), [(0, 0, s) for s in some.tolist()])) for k, some in zip(n, scores, strict=True)])
         model.curve = fit_curve(x, y, np.where(y > 0, 1 / share[1], 1 / share[0]))
     return model
 
