@@ -25,5 +25,6 @@ def test_components(spark, kind):
         p, q = find(a), find(b)
         parent[max(p, q)] = min(p, q)
     on_edge = {x for a, b in edges if a != b for x in (a, b)}
+    edges = edges + edges[:3] + [(None, 4), (5, None), (None, None)]  # repeated edges count once, null ends not at all
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x["id"]: x["component"] for x in got} == {x: find(x) for x in on_edge} and len(got) == len(on_edge)

@@ -310,33 +310,66 @@ def test_token_ids_are_the_same():
         assert t.ids(text).tolist() == ids_of(text)
 
 
-def test_pack(spark):
-    pieces = packing.digest(packing.pack_documents(frame(spark), **tokenizer_files())).collect()
+def test_token_ids_of_a_whole_table(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    t = packing.load_tokens(**tokenizer_files())
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    assert len(rows) >= 200 and all(t.ids(x["text"] or "").tolist() == ids_of(x["text"]) for x in rows)
+
+
+@pytest.mark.parametrize("pool_bytes", [4 << 20, 2000])
+def test_pack(spark, pool_bytes):
+    pieces = packing.digest(packing.pack_documents(frame(spark), **tokenizer_files(), pool_bytes=pool_bytes)).collect()
     rows = odd_rows()
-    seqs = defaultdict(list)
+    seqs, docs = defaultdict(list), defaultdict(list)
     for p in pieces:
         seqs[p["sequence_id"]].append((p["offset"], p["length"]))
+        docs[p["doc_id"], p["doc_tokens"]].append((p["start"], p["length"], p["ids_crc32"]))
+    sizes = []
     for parts in seqs.values():
         parts.sort()
         at = 0
         for offset, length in parts:
-            assert offset == at
+            assert offset == at and length > 0
             at += length
-        assert at == 1024 or at & (at - 1) == 0
-    total = sum(len(ids_of(t)) + 1 for _, t, *_ in rows)
-    assert sum(p["length"] for p in pieces) == total
-    mine = sorted((p["start"], p["length"], p["ids_crc32"]) for p in pieces if p["doc_id"] == 6)
-    ids = np.array([*ids_of(dict((d, t) for d, t, *_ in rows)[6]), 0], "<u4")
-    assert sum(length for _, length, _ in mine) == len(ids)
-    for start, length, crc in mine:
-        assert zlib.crc32(ids[start : start + length].tobytes()) == crc
+        assert at <= 1024
+        sizes.append(at)
+    assert sum(1024 - n for n in sizes if n & (n - 1)) <= 0.01 * sum(sizes) + 1024 * 4  # little padding, whatever the tasks
+    want = defaultdict(list)
+    for d, t, *_ in rows:
+        ids = np.array([*ids_of(t), 0], "<u4")
+        want[d, len(ids)].append(ids)
+    assert set(docs) == set(want)
+    for key, many in want.items():  # every id of every document lies in one piece, repeated rows included
+        parts, n = sorted(docs[key]), key[1]
+        assert sum(k for _, k, _ in parts) == n * len(many)
+        cover = np.zeros(n, int)
+        for start, k, crc in parts:
+            cover[start : start + k] += 1
+            assert any(zlib.crc32(ids[start : start + k].tobytes()) == crc for ids in many)
+        assert (cover == len(many)).all()
     assert packing.pack_documents(frame(spark, []), **tokenizer_files()).count() == 0
 
 
-def test_assignment_prefers_the_cheapest_sequence():
-    pieces, n = packing.assign(np.array([700, 600, 400, 300, 48]), 1024, 1.0, 1 / 1024)
-    where = {d: s for d, _, _, s, _ in pieces}
-    assert n == 2 and where[0] != where[1] and where[2] == where[1] and where[3] == where[0]
+def test_assignment():
+    """To the cheapest sequence with room; nothing that fits is cut but in the last pool, which leaves no padding."""
+    last = packing.Packer(1024, 1.0, 1 / 1024, 0.01).pack(np.array([700, 600, 400, 300, 48]), True)
+    where = {d: s for d, _, _, s, _ in last}
+    assert len(set(where.values())) == 2 and where[0] != where[1] and where[2] == where[1] and where[3] == where[0]
+    r = np.random.default_rng(1)
+    packer, sizes, docs = packing.Packer(1024, 1.0, 1 / 1024, 0.01), Counter(), 0
+    for pool in range(6):
+        lengths = r.integers(1, 1500, 400)
+        pieces = packer.pack(lengths, pool == 5)
+        cut = Counter(d for d, *_ in pieces)
+        if pool < 5:
+            assert all(cut[d] == -(-n // 1024) for d, n in enumerate(lengths.tolist()))
+        docs += int(lengths.sum())
+        for _, _, n, s, _ in pieces:
+            sizes[s] += n
+    assert sum(sizes.values()) == docs and max(sizes.values()) <= 1024 and len(sizes) <= 1.02 * docs / 1024 + 12
+    assert list(packing.pools(iter([]), 5)) == []
 
 
 # Language ID.
@@ -363,6 +396,55 @@ def test_language_id(spark):
     assert kept.filter("doc_id = 902").first()["lang"] == "aa"
 
 
+def test_network_is_its_definition():
+    """Folded tables against a direct convolution, and gradients against differences."""
+    r = np.random.default_rng(3)
+    net = langid.ByteCNN(["a", "b", "c"], window=20, widths=(2, 3), filters=4, dim=3)
+    for k in net.p:
+        net.p[k] = r.normal(0, 0.4, net.p[k].shape)
+    x, y = r.integers(0, 9, (5, 20)).astype(np.uint8), r.integers(0, 3, 5)
+
+    def direct(p):
+        out = []
+        for row in x:
+            h = []
+            for w in net.widths:
+                z = np.array([np.concatenate([p["emb"][row[i + k]] for k in range(w)]) @ p[f"w{w}"] for i in range(20 - w + 1)])
+                h += (z.max(0) + p[f"b{w}"]).tolist()
+            z = np.maximum(h, 0) @ p["out"] + p["bias"]
+            out.append(z - np.log(np.exp(z).sum()))
+        return np.array(out)
+
+    assert np.allclose(net.log_probs(x), direct(net.p), atol=1e-4)
+    grads, loss = net.gradients(x, y)
+    assert loss == pytest.approx(-direct(net.p)[np.arange(5), y].mean())
+    for k, g in grads.items():
+        for at in [tuple(r.integers(0, s) for s in g.shape) for _ in range(6)] + [np.unravel_index(np.abs(g).argmax(), g.shape)]:
+            near = []
+            for step in (1e-5, -1e-5):
+                p = {name: v.copy() for name, v in net.p.items()}
+                p[k][at] += step
+                near.append(-direct(p)[np.arange(5), y].mean())
+            assert g[at] == pytest.approx((near[0] - near[1]) / 2e-5, abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than an even share has texts for, a rare one among them; repeated rows."""
+    r = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(24):
+        letters = alphabet[k : k + 2] if k < 25 else "az"
+        rows += [(1000 * k + i, " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(60)), f"l{k}", None, 0) for i in range(3 if k == 7 else 25)]
+    rows += [rows[0]] * 30
+    share = langid.shares({f"l{k}": 3 if k == 7 else 25 for k in range(24)}, 240, 100)
+    assert sum(share.values()) == pytest.approx(240) and share["l7"] == 3 and min(share.values()) == 3
+    model = langid.train(frame(spark, rows), F.lit(True), most_texts=240)
+    assert len(model.labels) == 24
+    out = {x["doc_id"]: x["lang_pred"] for x in langid.identify(frame(spark, rows), model, ["doc_id"]).select("row.doc_id", "lang_pred").collect()}
+    assert sum(out[d] == lang for d, _, lang, *_ in rows) / len(rows) > 0.8
+
+
 def test_language_id_without_labels(spark):
     assert {x["lang_pred"] for x in langid.identify_languages(frame(spark, [(1, "abc", None, None, 0)]), F.lit(False)).collect()} == {"und"}
     assert langid.identify_languages(frame(spark, []), F.lit(False)).count() == 0
@@ -415,6 +497,35 @@ def test_toxicity(spark):
     assert out[902]["passages"][0]["start"] == 50000
 
 
+def test_extreme_values_are_calibrated():
+    r = np.random.default_rng(4)
+    n = r.integers(20, 2000, 6000).astype(float)
+    s = np.maximum(0, (np.log(0.03 * n) + r.gumbel(size=len(n))) / 0.8)
+    k, lam = toxicity.extreme_value(n, s)
+    assert k == pytest.approx(0.03, rel=0.15) and lam == pytest.approx(0.8, rel=0.05)
+    assert toxicity.extreme_value(np.array([50.0]), np.array([0.0]))[0] < 0.02
+
+
+def test_clean_texts_have_few_passages(spark):
+    """Of clean texts about `alpha` have a passage at all, whatever their words."""
+    rows, labels = toxic_rows(900)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), marks, id_crc() % 5 != 0, least=0.3, z=0.5)
+    r = random.Random(77)
+    share = sum(bool(model.passages(prose(r, r.randrange(5, 400), 300).encode())[0]) for _ in range(600)) / 600
+    assert share < 3 * model.alpha
+
+
+def test_toxicity_odd_tables(spark):
+    rows, labels = toxic_rows(200)
+    marks = spark.createDataFrame([*labels, (0, 0), (7, 1), (7, 0), (10_000, 1)], "doc_id long, toxic int")  # an id labelled twice, one without a document
+    model = toxicity.train(frame(spark, rows + rows[:3]), marks, F.lit(True))
+    out = toxicity.score_documents(frame(spark, rows + rows[:3]), model).collect()
+    assert len(out) == 203 and all(len({x["score"] for x in out if x["doc_id"] == d}) == 1 for d in range(3))
+    assert toxicity.score_documents(frame(spark, []), model).count() == 0
+    assert toxicity.train(frame(spark, []), marks, F.lit(True)).odds == {}
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(frame(spark), none, id_crc() % 5 != 0)

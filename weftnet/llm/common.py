@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors would write to folders of their own")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="weftnet-")
@@ -38,13 +40,35 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_scratch: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed at the end of the innermost `scratch`, or when the driver ends."""
     path = f"{shared_dir(spark)}/weftnet-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path.rpartition("/")[0])
+    if _scratch:
+        _scratch[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path.rpartition("/")[0])
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what a path of `fresh_path` holds."""
+    _remove(spark, path.rpartition("/")[0])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are removed at its end: results must be written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            discard(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -15,9 +15,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     smallest neighbour, a small-star step links the smaller ones and the id itself; both keep what is
     connected and end in stars, after a number of rounds that grows with the logarithm of the size.
     Minima are pre-aggregated, and tables that meet in a join are written first, so that Spark may
-    split the neighbours of a hub.
+    split the neighbours of a hub. Repeated edges count once; edges with a null end or with equal ends
+    don't count, and ids only on such edges have no row.
     """
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}_0")
+    e = staged(edges.select("a", "b", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL AND u <> v").select("u", "v").distinct(), f"{name}_0")
     step = 0
     while not _stars(e):
         step += 1
