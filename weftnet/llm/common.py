@@ -69,11 +69,18 @@ def scratch(spark: SparkSession):
             discard(spark, path)
 
 
+#: Bytes of a row group of a staged table.
+ROW_GROUP_BYTES = 4 << 20
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Row groups are small: a task holds one while it writes, and as many rows of one while it reads, and packed rows are large.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -135,16 +142,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+ARROW_ROWS, ARROW_BYTES = 250, 1 << 20
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """`df.mapInArrow` with this package at hand on the executors, in batches of ARROW_ROWS at most."""
+    """`df.mapInArrow` with this package at hand on the executors.
+
+    The session's batches become smaller, if they are larger than ARROW_ROWS and ARROW_BYTES: Spark reads these
+    settings when a plan runs, which is after this function, so they can't be set back here.
+    """
     ship(df.sparkSession)
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df.mapInArrow(fn, schema)
 
 
@@ -268,7 +281,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[ends_at] = begins[ends_at]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):  # in pieces of about _CHUNK bytes, whole words
+    while i < len(starts):  # in pieces of about _CHUNK bytes, whole words, which keeps arrays (and tables of powers) small
         at = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, at + _CHUNK, side="right")))
         s, e, part = starts[i:j] - at, ends[i:j] - at, low[at : int(ends[j - 1])]
@@ -285,7 +298,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 #: Bytes whose words are hashed at once.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _SECOND = 0xD1342543DE82EF95
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
 _BYTE_MIX = mix64(np.arange(1, 257, dtype=np.uint64))

@@ -160,7 +160,7 @@ def describe(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFra
             "keys": pa.array(empty + [keys[i:j].tobytes() for i, j in bounds], pa.binary()), "docs": pa.array(empty + [planes(owner[i:j]) for i, j in bounds], pa.binary()),
         })
 
-    return map_gathered(docs, run, SETS, 2 * TEXT_BYTES)
+    return map_gathered(docs, run, SETS, TEXT_BYTES)
 
 
 def grouped(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,7 +346,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     for c in ("doc", "pivot"):
         groups = groups.join(moved.select(F.col("id").alias(c), F.col("first").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
     groups = staged(groups.distinct(), "groups")
-    sketches = have.select("doc_id", "n_shingles", "sketch")
+    # sketches of documents that share a key with others; the rest has no part in what follows
+    near = maybe_among(have.select("doc_id", "n_shingles", "sketch"), "doc_id", groups.select(F.col("doc").alias("id")), "maybe")
+    sketches = staged(near.filter("maybe").drop("maybe"), "sketches")
 
     # 1. with the smallest id of a key
     side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")

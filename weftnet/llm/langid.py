@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,11 +184,13 @@ def train(docs: DataFrame, may_learn: Column, *, most_texts: int = 6000, per_lan
 def identify(docs: DataFrame, model: ByteCNN | None, keep: list[str]) -> DataFrame:
     """lang_pred and score of every row's text, beside the columns `keep` as the struct `row`."""
     row = F.struct(*[F.col(c) for c in keep]).alias("row")
-    rows = docs.select(row, F.when(has_letter(F.col("text")), F.col("text")).otherwise(F.lit("")).alias("text"))
+    rows = docs.select(row, has_letter(F.col("text")).alias("has"), *([] if "text" in keep else ["text"]))  # no text travels twice
+    at = keep.index("text") if "text" in keep else None
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batch: pa.RecordBatch) -> dict:
-        raw, offsets = text_bytes(batch.column(1))
+        text = batch.column(2) if at is None else batch.column(0).flatten()[at]
+        raw, offsets = text_bytes(pc.if_else(batch.column(1), text, ""))
         n = batch.num_rows
         best, score = np.full(n, -1), np.zeros(n)
         empty = np.diff(offsets) == 0
@@ -204,7 +207,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, keep: list[str]) -> DataFra
         names = np.array([*(model.labels if model else []), UND], dtype=object)
         return {"row": batch.column(0), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)}
 
-    return map_batches(rows, predict, schema, 4 << 20)
+    return map_batches(rows, predict, schema, 2 << 20)
 
 
 def identify_languages(docs: DataFrame, held_out: Column, **sample) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from weftnet.llm.common import _BYTE_MIX, _INVERSE, input_bytes, map_arrow, map_gathered, maybe_among, mix64, powers, ship, staged, text_bytes
 from weftnet.llm.jaccard import planes, unplanes
 
-GRAM, STRETCH = 32, 1 << 19
+GRAM, STRETCH = 32, (1 << 18) - 256
 #: Runs of a hash that one shard judges; packed bytes of a bucket of step 1; runs of a hash that are many in a part of a split bucket.
 HOT, HOT_BYTES, MANY = 32, 64 << 20, 64
 _B = 0x9E3779B97F4A7C15
