@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import staged
+from weftnet.llm.common import fresh_path, scratch, staged
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,6 +18,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     split the neighbours of a hub. Repeated edges count once; edges with a null end or with equal ends
     don't count, and ids only on such edges have no row.
     """
+    spark = edges.sparkSession
+    path = fresh_path(spark, name)
+    with scratch(spark):
+        _found(edges, name).write.parquet(path)
+    return spark.read.schema("id long, component long").parquet(path)
+
+
+def _found(edges: DataFrame, name: str) -> DataFrame:
     e = staged(edges.select("a", "b", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL AND u <> v").select("u", "v").distinct(), f"{name}_0")
     step = 0
     while not _stars(e):

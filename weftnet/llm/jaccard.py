@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import documents, input_bytes, map_gathered, maybe_among, mix64, ship, staged, text_bytes, word_hashes
+from weftnet.llm.common import documents, fresh_path, input_bytes, map_gathered, maybe_among, mix64, scratch, ship, staged, text_bytes, word_hashes
 from weftnet.llm.components import components
 
 #: Bits of a sketch segment (few are set: a segment is kept as the hash of their places); words of the short
@@ -331,9 +331,19 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int,
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, block: int = 1024, block_shingles: int = 1 << 18, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; links are sets with similarity num/den or more."""
-    ship(docs.sparkSession)
-    docs = documents(docs)
+    """doc_id, n_shingles and component_id of every row; links are sets with similarity num/den or more.
+
+    The rows are written; what was staged on the way is removed.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    path = fresh_path(spark, "near_duplicates")
+    with scratch(spark):
+        _components_of(documents(docs), width, num, den, block, block_shingles, bucket_bytes).write.parquet(path)
+    return spark.read.schema("doc_id long, n_shingles long, component_id long").parquet(path)
+
+
+def _components_of(docs: DataFrame, width: int, num: int, den: int, block: int, block_shingles: int, bucket_bytes: int) -> DataFrame:
     buckets = max(64, input_bytes(docs) // bucket_bytes)
     few = 4 * buckets
     every = staged(describe(docs, width, Bands(num, den), buckets), "sets")
@@ -399,7 +409,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` but for those whose component has a smaller id; of equal rows one stays."""
-    found = staged(near_duplicates(docs, **how), "near_duplicates")
+    found = near_duplicates(docs, **how)
     gone = staged(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
     rows = maybe_among(rows, "key", gone, "maybe")
