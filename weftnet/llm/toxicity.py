@@ -8,7 +8,7 @@ A linear scan finds all maximal scoring segments; a segment of score S in n toke
 number K n exp(-lambda S) of equals by chance (extreme-value statistics). K and lambda are the most
 likely ones for the best segments of labelled texts that aren't toxic and gave no log-odds. Segments
 below `alpha` are passages: of clean texts about that share has one. A logistic curve over the best
-segment's log expectation and the number of passages gives the document's score.
+segment's log expectation and the sum of all that are below 0 gives the document's score.
 
 Learning: from a bounded sample of labelled rows (`most_toxic` and `most_other` rows about, chosen by a
 hash of the id against rates from exact counts). Two thirds of it, each text once, give the log-odds
@@ -97,29 +97,29 @@ class Model:
         at = [i for i, s in enumerate(scores) if s > 0]
         return len(words), segments(at, [scores[i] for i in at], self.drift)
 
-    def passages(self, text: bytes) -> tuple[list[tuple[int, int, float, float]], float]:
-        """Significant segments (first token, token after the last, bits, p) and the log expectation of the best one."""
+    def passages(self, text: bytes) -> tuple[list[tuple[int, int, float, float]], float, float]:
+        """Significant segments (first token, token after the last, bits, p), the log expectation of the best one, and how far all together are below 0."""
         return self.judged(*self.scan(text))
 
-    def judged(self, n: int, segs: list[tuple[int, int, float]]) -> tuple[list[tuple[int, int, float, float]], float]:
+    def judged(self, n: int, segs: list[tuple[int, int, float]]) -> tuple[list[tuple[int, int, float, float]], float, float]:
         """As passages, of segments found before."""
         base = math.log(self.k * max(1, n))
-        found, best = [], math.inf if segs else base
+        found, best, total = [], math.inf if segs else base, 0.0
         for a, b, s in segs:
             e = base - self.lam * s
-            best = min(best, e)
+            best, total = min(best, e), total + max(0.0, -e)
             p = -math.expm1(-math.exp(min(e, 50.0)))
             if p <= self.alpha:
                 found.append((a, b + 1, self.lam * s / math.log(2), p))
-        return found, best
+        return found, best, total
 
-    def features(self, found: list, best: float) -> tuple[float, float, float]:
-        return 1.0, -max(-30.0, min(12.0, best)) / 10, math.log1p(len(found))
+    def features(self, best: float, total: float) -> tuple[float, float, float]:
+        return 1.0, -max(-30.0, min(12.0, best)) / 10, math.log1p(total)
 
-    def score(self, found: list, best: float) -> float:
+    def score(self, best: float, total: float) -> float:
         if self.curve is None:
             return self.rate
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, float(np.dot(self.curve, self.features(found, best)))))))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, float(np.dot(self.curve, self.features(best, total)))))))
 
 
 def extreme_value(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most_toxic:
     if (y == 0).any():
         model.k, model.lam = extreme_value(n[y == 0], best[y == 0])
     if 0 < y.sum() < len(y):
-        x = np.array([model.features(*model.judged(int(k), [(0, 0, s) for s in some.tolist()])) for k, some in zip(n, scores, strict=True)])
+        x = np.array([model.features(*model.judged(int(k), [(0, 0, s) for s in some.tolist()])[1:]) for k, some in zip(n, scores, strict=True)])
         model.curve = fit_curve(x, y, np.where(y > 0, 1 / share[1], 1 / share[0]))
     return model
 
@@ -217,8 +217,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         score, spans = [], []
         for text in batch.column(1).to_pylist():
-            found, best = model.passages(text.encode())
-            score.append(model.score(found, best))
+            found, *rest = model.passages(text.encode())
+            score.append(model.score(*rest))
             spans.append([{"start": a, "end": b, "bits": s, "p_value": p} for a, b, s, p in found])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64()), ("p_value", pa.float64())]))
         return {"doc_id": batch.column(0), "score": pa.array(score, pa.float64()), "passages": pa.array(spans, kind)}
