@@ -5,8 +5,8 @@ projections in a sorted array, cut into `cells` base buckets. A query looks at w
 projections: a vector that lies in a direction's window collides there. Virtual rehashing changes a
 window's width without new hashes: it merges neighbouring base buckets. A window is the difference of
 two prefixes of the sorted array, kept as bitmaps, and collisions of a whole block are counted by
-carry-save additions of bitmaps, many queries at once. Windows widen until `verify` of the vectors (at
-least 2 k) reach the collision threshold, and narrow where far too many do; the vectors with the most
+carry-save additions of bitmaps, many queries at once. Windows widen until `verify` of the vectors (of a
+block `least` times k at least) reach the collision threshold, and narrow where far too many do; the vectors with the most
 collisions are verified by their inner product in double precision on the original vectors.
 
 Largest inner products become smallest distances by one more component. As this says little where
@@ -134,7 +134,7 @@ class Band:
         return out
 
 
-def search_block(ids, x, qids, q, k: int, count: int, threshold: float, verify: float, first: float, growth: float, cells: int, band: float, together: int = 128, seen: list | None = None):
+def search_block(ids, x, qids, q, k: int, count: int, threshold: float, verify: float, first: float, growth: float, cells: int, band: float, least: int, together: int = 128, seen: list | None = None):
     """Yields each query's best of a block: query id, rows, scores. `seen` collects the numbers of verified rows."""
     order = np.argsort(ids, kind="stable")
     _, firsts, entry = np.unique(np.ascontiguousarray(x[order] + 0.0).view(f"V{8 * x.shape[1]}")[:, 0], return_index=True, return_inverse=True)
@@ -159,7 +159,7 @@ def search_block(ids, x, qids, q, k: int, count: int, threshold: float, verify:
             go = [j for j in js.tolist() if len(best[j][1]) < k or not best[j][1][-1] > 0 or np.log2(best[j][1][-1]) <= top + norm_q[j] + 1e-6]
             if not go:
                 continue
-            maps = index.candidates(unit_q[go], need, max(2 * k, int(np.ceil(verify * len(rows)))), first, growth) if index else None
+            maps = index.candidates(unit_q[go], need, max(2 * k, int(np.ceil(max(verify, least * k / len(v)) * len(rows)))), first, growth) if index else None
             for i, j in enumerate(go):
                 found = rows if maps is None else rows[np.flatnonzero(np.unpackbits(maps[i].view(np.uint8), bitorder="little")[: len(rows)])]
                 if seen is not None:
@@ -178,10 +178,10 @@ def search_block(ids, x, qids, q, k: int, count: int, threshold: float, verify:
             yield qids[j], *best[j]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, count: int = 256, threshold: float = 0.7, verify: float = 0.015, first: float = 0.95, growth: float = 1.25, cells: int = 128, band: float = 1.2) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, count: int = 256, threshold: float = 0.7, verify: float = 0.015, first: float = 0.95, growth: float = 1.25, cells: int = 128, band: float = 1.2, least: int = 12) -> DataFrame:
     """query_id, rank, vec_id and score (inner product) of each query's k nearest found."""
 
     def search(ids, x, qids, q):
-        return search_block(ids, x, qids, q, k, count, threshold, verify, first, growth, cells, band)
+        return search_block(ids, x, qids, q, k, count, threshold, verify, first, growth, cells, band, least)
 
     return block_search(usable(vectors, zero=False), is_query, search, k, "double")
