@@ -4,6 +4,8 @@ import hashlib
 import math
 import os
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, frame, odd_rows, prose, words
-from weftnet.llm import jaccard, langid, lm, mixing, packing, suffix, toxicity
+from weftnet.llm import common, jaccard, langid, lm, mixing, packing, suffix, toxicity
 from weftnet.llm.common import id_crc, word_hashes
 from weftnet.llm.queries import tokenizer_files
 
@@ -93,6 +95,48 @@ def test_near_duplicates_chains(spark, how):
     assert got == want and len(set(want.values())) > 20 and sum(1 for c in want.values() if c == min(want)) >= 40
 
 
+def test_copies_have_no_keys_of_their_own(spark, monkeypatch):
+    """Twelve copies of each text, in other tasks, make as many keys as one; no table of keys is left when pairs are verified."""
+    texts = [prose(random.Random(k), 200, 5000) for k in range(20)]
+    rows = [(100 * copy + k, text, None, None, 0) for copy in range(12) for k, text in enumerate(texts)]
+    real, seen, open_tables = jaccard.groups_of, [], []
+
+    def groups_of(packed, hot_bytes):
+        seen.append((packed.agg(F.sum(F.length("docs"))).first()[0], [f.removeprefix("file://") for f in packed.inputFiles()]))
+        return real(packed, hot_bytes)
+
+    def verified(*a, f=jaccard.verified):
+        open_tables.extend(path for path in seen[-1][1] if os.path.exists(path))
+        return f(*a)
+
+    monkeypatch.setattr(jaccard, "groups_of", groups_of)
+    monkeypatch.setattr(jaccard, "verified", verified)
+    for n in (len(texts), len(rows)):
+        got = jaccard.near_duplicates(frame(spark, rows[:n]).repartition(12, "doc_id")).collect()
+        assert {x["doc_id"]: x["component_id"] for x in got} == {d: d % 100 for d, *_ in rows[:n]}
+    assert seen[0][0] == seen[1][0] > 0 and seen[1][1] and not open_tables
+
+
+def test_ids_of_several_texts_lose_no_link(spark):
+    """A copy of document 3 shares its id with another text, which is like document 20."""
+    base, other = prose(random.Random(1), 120, 5000), prose(random.Random(2), 120, 5000).split()
+    near = " ".join(["changed", *other[1:]])
+    rows = [(3, base, None, None, 0), (12, base, None, None, 0), (12, " ".join(other), None, None, 0), (20, near, None, None, 0)]
+    got = [(x["doc_id"], x["component_id"]) for x in jaccard.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == [(3, 3), (12, 3), (12, 12), (20, 12)]
+
+
+def test_shuffle_files_go_with_a_staged_table(spark):
+    blocks = lambda: {b for b in re.findall(r"shuffle_\d+_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString())}
+    before = blocks()
+    out = common.staged(spark.range(5000).groupBy((F.col("id") % 999).alias("k")).count(), "some")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and out.count() == 999
+
+
 def test_split_buckets_lose_no_pair(spark):
     """Whether a bucket is split or not, the same documents share a group."""
     half = prose(random.Random(3), 100, 5000)

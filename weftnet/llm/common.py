@@ -78,10 +78,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Row groups are small: a task holds one while it writes, and as many rows of one while it reads, and packed rows are large.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    written(df, path, ROW_GROUP_BYTES)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Makes Spark remove the shuffle files of a statement at its end; else they stay until the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str, row_group_bytes: int | None = None) -> None:
+    """Writes `df`; its shuffle files go when it is written."""
+    conf, out = df.sparkSession.conf, df.write.option("parquet.block.size", row_group_bytes) if row_group_bytes else df.write
+    before = conf.get(SHUFFLES_GO, "false")
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        out.parquet(path)
+    finally:
+        conf.set(SHUFFLES_GO, before)
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -106,14 +120,14 @@ def input_bytes(df: DataFrame) -> int:
 FILTER_WORDS = 1 << 18
 
 
-def maybe_among(df: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+def maybe_among(df: DataFrame, key: str, ids: DataFrame, flag: str, seed: int = 3) -> DataFrame:
     """Adds `flag`: false only where `key` surely isn't among the column `id` of `ids` (null counts as false).
 
     A bitmap of hashed ids, of a fixed size, is broadcast as a table of its words. Rows that surely have
     no partner then need no shuffle to a join; the others still meet the exact join. With very many ids
-    the bitmap fills and sets fewer rows apart, but nothing else changes.
+    the bitmap fills and sets fewer rows apart, but nothing else changes. Filters of other seeds err on other rows.
     """
-    spot = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(64 * FILTER_WORDS))
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(64 * FILTER_WORDS))
     bit = lambda c: F.pmod(spot(c), F.lit(64)).cast("int")
     one = F.lit(1).cast("long")
     words = ids.select(F.call_function("div", spot(F.col("id")), F.lit(64)).alias("filter_word"), F.call_function("shiftleft", one, bit(F.col("id"))).alias("filter_bits"))

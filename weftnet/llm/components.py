@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import fresh_path, scratch, staged
+from weftnet.llm.common import fresh_path, scratch, staged, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     path = fresh_path(spark, name)
     with scratch(spark):
-        _found(edges, name).write.parquet(path)
+        written(_found(edges, name), path)
     return spark.read.schema("id long, component long").parquet(path)
 
 

@@ -10,8 +10,9 @@ the pigeonhole principle two similar sets agree in a whole segment. With z more
 z + 1, and the fullest of these is never among the z emptiest of either set, so each set leaves its z
 emptiest segments out: segments with few shingles are what unlike sets share. Segments are hashed to keys.
 
-A text is hashed once: its set's size, digest and short sketch are written with its keys, packed as
-blocks of sorted numbers per bucket. Equal sets are one set. Then
+Texts are hashed for their sets' sizes, digests and short sketches; equal sets are one set. Of each set one
+text (and, where a membership filter of a fixed size errs, a copy) is hashed once more for its keys, which are
+packed as blocks of sorted numbers per bucket and removed as soon as their groups are known. Then
 
 1. the sets of a key are compared with the smallest id among them, by the Hamming distance of their
    short sketches, which drops only pairs that can't be similar, and what is left exactly;
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import documents, fresh_path, input_bytes, map_gathered, maybe_among, mix64, scratch, ship, staged, text_bytes, word_hashes
+from weftnet.llm.common import documents, fresh_path, input_bytes, map_gathered, maybe_among, mix64, scratch, ship, staged, text_bytes, word_hashes, written
 from weftnet.llm.components import components
 
 #: Bits of a sketch segment (few are set: a segment is kept as the hash of their places); words of the short
@@ -124,20 +125,42 @@ def short_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").view(np.uint64)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes, which compress well where high bytes repeat."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as planes of their `width` low bytes, which compress well where high bytes repeat."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
 
 
-def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+def unplanes(b: bytes, width: int = 8) -> np.ndarray:
+    low = np.frombuffer(b, np.uint8).reshape(width, -1)
+    out = np.zeros((low.shape[1], 8), np.uint8)
+    out[:, :width] = low.T
+    return out.view("<i8")[:, 0]
 
 
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, bucket long, keys binary, docs binary"
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, row_key long"
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """The set of each row (doc_id, text, row_key): size, 128-bit digest, short sketch."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(*text_bytes(batch.column(1)), width)
+        digests = [set_digest(s) for s in sets]
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([d[0] for d in digests], pa.int64()), "s2": pa.array([d[1] for d in digests], pa.int64()),
+            "sketch": pa.array([short_sketch(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64())), "row_key": batch.column(2),
+        })
+
+    return map_gathered(docs.select("doc_id", "text", "row_key"), run, SETS, TEXT_BYTES)
+
+
+#: Bytes that are kept of a key: those of a bucket (about a million) rarely agree in them by chance, and such pairs are compared like all others.
+KEY_BYTES = 5
+KEYS = "bucket long, keys binary, docs binary"
 
 
 def describe(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFrame:
-    """Two kinds of rows: a row's set (size, 128-bit digest, short sketch), and packed keys of a bucket with their documents."""
+    """Packed keys of a bucket with their documents."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, sets = batch.column(0).to_pylist(), shingle_sets(*text_bytes(batch.column(1)), width)
@@ -149,18 +172,16 @@ def describe(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFra
         owner = np.repeat(np.array([doc for doc, _ in first.values()], np.int64), [len(k) for k in keys])
         keys = np.concatenate([np.zeros(0, np.uint64), *keys])
         bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
+        keys &= np.uint64((1 << 8 * KEY_BYTES) - 1)
         order = np.lexsort((keys, bucket))
         keys, owner, bucket = keys[order], owner[order], bucket[order]
         cut = np.flatnonzero(np.diff(bucket)) + 1
         bounds = [(i, j) for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True) if j > i]
-        none, empty = [None] * len(bounds), [None] * len(sets)
         return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids + none, pa.int64()), "n_shingles": pa.array([len(s) for s in sets] + none, pa.int64()), "s1": pa.array([d[0] for d in digests] + none, pa.int64()), "s2": pa.array([d[1] for d in digests] + none, pa.int64()),
-            "sketch": pa.array([short_sketch(s).view(np.int64).tolist() for s in sets] + none, pa.list_(pa.int64())), "bucket": pa.array(empty + [int(bucket[i]) for i, _ in bounds], pa.int64()),
-            "keys": pa.array(empty + [keys[i:j].tobytes() for i, j in bounds], pa.binary()), "docs": pa.array(empty + [planes(owner[i:j]) for i, j in bounds], pa.binary()),
+            "bucket": pa.array([int(bucket[i]) for i, _ in bounds], pa.int64()), "keys": pa.array([planes(keys[i:j], KEY_BYTES) for i, j in bounds], pa.binary()), "docs": pa.array([planes(owner[i:j]) for i, j in bounds], pa.binary()),
         })
 
-    return map_gathered(docs, run, SETS, TEXT_BYTES)
+    return map_gathered(docs.select("doc_id", "text"), run, KEYS, TEXT_BYTES)
 
 
 def grouped(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +204,7 @@ def groups_of(packed: DataFrame, hot_bytes: int) -> DataFrame:
     """Documents with a common key: grp, doc and pivot (the smallest of them), a row a member; equal groups of a bucket are one."""
 
     def unpacked(pdf):
-        return grouped(np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["keys"]]), np.concatenate([unplanes(b) for b in pdf["docs"]]))
+        return grouped(np.concatenate([unplanes(b, KEY_BYTES) for b in pdf["keys"]]), np.concatenate([unplanes(b) for b in pdf["docs"]]))
 
     def meet(pdf):
         _, owner, first = unpacked(pdf)
@@ -205,6 +226,7 @@ def groups_of(packed: DataFrame, hot_bytes: int) -> DataFrame:
         import pandas as pd
 
         keys, owner, first = unpacked(pdf)
+        keys = keys | int(pdf["bucket"].iloc[0]) << 8 * KEY_BYTES  # the parts of all buckets meet
         size = np.diff(np.append(first, len(owner)))
         grp, pivot = np.repeat(keys[first], size), np.repeat(owner[first], size)
         some = np.repeat(size > 1, size)
@@ -212,7 +234,7 @@ def groups_of(packed: DataFrame, hot_bytes: int) -> DataFrame:
         firsts = pd.DataFrame({"grp": None, "doc": owner[first], "pivot": owner[first], "key": keys[first].view(np.int64)})
         return pd.concat([out, firsts]).astype({"grp": "Int64", "key": "Int64"})
 
-    sizes = packed.groupBy("bucket").agg(F.sum(F.length("keys")).alias("bytes"))
+    sizes = packed.groupBy("bucket").agg(F.sum(F.length("keys") * 8 / KEY_BYTES).alias("bytes"))
     hot = staged(sizes.filter(F.col("bytes") > hot_bytes).select("bucket", F.ceil(F.col("bytes") / hot_bytes).alias("parts")), "hot_buckets")
     if hot.isEmpty():
         return packed.groupBy("bucket").applyInPandas(meet, GROUPS)
@@ -339,23 +361,35 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     ship(spark)
     path = fresh_path(spark, "near_duplicates")
     with scratch(spark):
-        _components_of(documents(docs), width, num, den, block, block_shingles, bucket_bytes).write.parquet(path)
+        written(_components_of(documents(docs), width, num, den, block, block_shingles, bucket_bytes), path)
     return spark.read.schema("doc_id long, n_shingles long, component_id long").parquet(path)
 
 
+def _groups(docs: DataFrame, sets: DataFrame, width: int, bands: Bands, buckets: int, bucket_bytes: int) -> DataFrame:
+    """Groups of documents with a common key (grp, doc, pivot), one of each set; sets: doc_id, row_key and first, the set's smallest id."""
+    spark = docs.sparkSession
+    path = fresh_path(spark, "groups")
+    with scratch(spark):
+        own = staged(sets.filter("doc_id = first").select("doc_id", F.col("row_key").alias("id")).distinct(), "own")
+        # rows that stand for no set have no keys; those that both filters take for others go afterwards, and never
+        # are a pivot, as the first row of their set has the same keys
+        rows = docs
+        for seed in (3, 4):
+            rows = maybe_among(rows, "row_key", own, "maybe", seed).filter("maybe").drop("maybe")
+        packed = staged(describe(rows, width, bands, buckets), "keys")
+        copies = staged(sets.filter("doc_id <> first").select(F.col("doc_id").alias("doc")).distinct().join(own.select(F.col("doc_id").alias("doc")), "doc", "left_anti"), "copies")
+        written(groups_of(packed, 8 * bucket_bytes).join(copies, "doc", "left_anti").select("grp", "doc", "pivot").distinct(), path)
+    return spark.read.schema(GROUPS).parquet(path)
+
+
 def _components_of(docs: DataFrame, width: int, num: int, den: int, block: int, block_shingles: int, bucket_bytes: int) -> DataFrame:
     buckets = max(64, input_bytes(docs) // bucket_bytes)
     few = 4 * buckets
-    every = staged(describe(docs, width, Bands(num, den), buckets), "sets")
-    known = every.filter("bucket IS NULL").drop("bucket", "keys", "docs")
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    known = staged(described(docs, width), "sets")
     first = staged(known.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first")).filter("first is not null"), "first")
     have = known.filter("n_shingles > 0 and doc_id is not null")
-    moved = staged(have.join(first, ["n_shingles", "s1", "s2"]).filter("doc_id <> first").select(F.col("doc_id").alias("id"), "first").distinct(), "moved")
-    groups = groups_of(every.filter("bucket IS NOT NULL").select("bucket", "keys", "docs"), 8 * bucket_bytes)
-    # equal sets stand for their first document
-    for c in ("doc", "pivot"):
-        groups = groups.join(moved.select(F.col("id").alias(c), F.col("first").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    groups = staged(groups.distinct(), "groups")
+    groups = _groups(docs, have.join(first, ["n_shingles", "s1", "s2"]), width, Bands(num, den), buckets, bucket_bytes)
     # sketches of documents that share a key with others; the rest has no part in what follows
     near = maybe_among(have.select("doc_id", "n_shingles", "sketch"), "doc_id", groups.select(F.col("doc").alias("id")), "maybe")
     sketches = staged(near.filter("maybe").drop("maybe"), "sketches")
