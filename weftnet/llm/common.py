@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -185,6 +186,7 @@ def map_batches(df: DataFrame, fn, schema, limit: int = 16 << 20) -> DataFrame:
                 for cols in out if isinstance(out, list) else [out]:
                     if cols is not None:
                         yield cols if isinstance(cols, pa.RecordBatch) else pa.RecordBatch.from_pydict(cols)
+        give_back()
 
     return map_arrow(df, run, schema)
 
@@ -209,10 +211,19 @@ def map_gathered(df: DataFrame, fn, schema, limit: int) -> DataFrame:
         out = fn(joined(held)) if held else None
         if out is not None:
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+        del held, out
+        give_back()
 
     return map_arrow(df, run, schema)
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system: workers are used again, and else keep the most a task ever needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def split_batch(batch: pa.RecordBatch, limit: int):
     """Slices of a batch of about `limit` bytes each, whole rows."""
     if batch.num_rows == 0:
